@@ -64,21 +64,24 @@ def concat(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def new_rows(target: DataFrame, batch: DataFrame, key: str, order: list[Column] | None = None) -> DataFrame:
+def new_rows(
+    target: DataFrame, batch: DataFrame, key: str | list[str], order: list[Column] | None = None
+) -> DataFrame:
     """Rows of ``batch`` to insert into ``target``: unknown keys, first row of each.
 
     Columns may come in any order but must be those of the target.  Without ``order`` the
     smallest row of a key is its first.
     """
     check_columns(batch.columns, target.columns)
-    fresh = batch.where(F.col(key).isNotNull()).select(*target.columns).join(
-        target.select(key), key, "left_anti"
-    )
-    others = [F.asc(c) for c in target.columns if c != key]
-    return keep_first(fresh, [key], order or others or [F.asc(key)]).select(*target.columns)
+    keys = [key] if isinstance(key, str) else list(key)
+    fresh = batch.na.drop("any", subset=keys).join(target.select(*keys), keys, "left_anti")
+    others = [F.asc(c) for c in target.columns if c not in keys]
+    return keep_first(fresh, keys, order or others or [F.asc(c) for c in keys]).select(*target.columns)
 
 
-def merge_new_rows(target: DataFrame, batch: DataFrame, key: str, order: list[Column] | None = None) -> DataFrame:
+def merge_new_rows(
+    target: DataFrame, batch: DataFrame, key: str | list[str], order: list[Column] | None = None
+) -> DataFrame:
     """``target`` after inserting new rows; rows it already holds are untouched."""
     return target.unionByName(new_rows(target, batch, key, order))
 

@@ -77,7 +77,7 @@ class TableStore:
             raise ValueError("The `mode` must be 'fail', 'append' or 'replace'.")
 
     def insert_new_only(
-        self, df: DataFrame, table: str, schema: str, key: str, order: list[Column] | None = None
+        self, df: DataFrame, table: str, schema: str, key: str | list[str], order: list[Column] | None = None
     ) -> None:
         """Append the rows whose key the table does not hold; stored rows stay as they are.
 
