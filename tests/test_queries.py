@@ -1,0 +1,48 @@
+"""Every registered query against its SQL, whole tables."""
+
+from __future__ import annotations
+
+import duckdb
+import pandas as pd
+import pytest
+
+import __spark_entry__ as contract
+from tests.conftest import SF_DIR
+
+TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
+          "conversations").split()
+
+
+@pytest.fixture(scope="module")
+def duck():
+    connection = duckdb.connect()
+    for table in TABLES:
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
+    return connection
+
+
+def comparable(df: pd.DataFrame) -> list[str]:
+    df = df[sorted(df.columns)].copy()
+    for name in df.columns:
+        if df[name].dtype.kind == "f":
+            df[name] = df[name].round(5)
+        elif df[name].dtype.kind == "M":
+            df[name] = df[name].astype("datetime64[us]").astype(str)
+    df = df.astype(object).where(df.notna(), None)
+    return sorted(map(repr, df.itertuples(index=False, name=None)))
+
+
+@pytest.mark.parametrize("name", sorted(contract.queries()))
+def test_query_equals_its_sql(spark, duck, name):
+    actual = contract.queries()[name](spark, SF_DIR).toPandas()
+    expected = duck.execute(contract.oracle_sql()[name]).df()
+    assert sorted(actual.columns) == sorted(expected.columns)
+    assert comparable(actual) == comparable(expected)
+
+
+def test_all_queries_have_sql():
+    assert contract.queries().keys() == contract.oracle_sql().keys()
+
+
+def test_entry(spark):
+    assert contract.entry(spark).count() > 0
