@@ -52,6 +52,13 @@ def members(bagged: DataFrame, classes: DataFrame) -> DataFrame:
     ).drop("bag_key")
 
 
+def collapse_texts(texts: DataFrame, text: str = "processed_content") -> tuple[DataFrame, DataFrame]:
+    """``(classes, members)`` of ``(id, text)`` rows.  Each text is read and split once."""
+    bagged = materialise(bags(texts, text), "bags")
+    classes = materialise(collapse_copies(bagged), "classes")
+    return classes, members(bagged, classes)
+
+
 def word_counts(classes: DataFrame) -> DataFrame:
     """``(class_id, copies, word, tf)``: the bags in long form."""
     return classes.select("class_id", "copies", F.inline("bag"))
@@ -164,14 +171,12 @@ def encode_texts(
     and indices are fixed, and document frequencies come from ``corpus`` when given, or
     from the texts alone (the batch scope).
     """
-    bagged = bags(texts, text)
-    classes = materialise(collapse_copies(bagged), "classes")
-    member_table = members(bagged, classes)
+    classes, member_table = collapse_texts(texts, text)
     if vocabulary is None:
         vocabulary = materialise(fit_vocabulary(classes), "vocabulary")
         encoded = encode(classes, vocabulary)
     else:
-        basis = classes if corpus is None else materialise(collapse_copies(bags(corpus, text)), "corpus")
+        basis = classes if corpus is None else collapse_texts(corpus, text)[0]
         frequencies = document_frequencies(basis)
         if corpus is not None:
             # A batch word the corpus has never held counts as unseen, not as unknown.

@@ -9,15 +9,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearprint.functions import html, scalar, tokens
-from nearprint.operators import keyed, recommend, similarity, text, tfidf
+from nearprint.operators import dense, keyed, recommend, similarity, text, tfidf
 from nearprint.sources import api, files
 from nearprint.sources.store import TableStore, min_or_max
-from nearprint.storage import materialise, new_folder
+from nearprint.storage import materialise, new_folder, spread
 from nearprint.streaming.ingest import ingest_new_only
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def load_texts(spark: SparkSession, sf_dir: str, table: str, *columns: Column | str) -> DataFrame:
+    """Columns of a table whose rows are costly to work on."""
+    return spread(load(spark, sf_dir, table).select(*columns))
+
+
 def scratch_store(spark: SparkSession) -> tuple[TableStore, str]:
     """A store and a schema of its own in the shared folder."""
     schema = f"np_{uuid.uuid4().hex}"
@@ -321,13 +326,14 @@ def author_article_links(spark, sf_dir):
 
 @query
 def page_text(spark, sf_dir):
-    return load(spark, sf_dir, "pages").select("page_id", html.visible_text("html").alias("content"))
+    pages = load_texts(spark, sf_dir, "pages", "page_id", "html")
+    return pages.select("page_id", html.visible_text("html").alias("content"))
 
 
 @query
 def article_paragraphs(spark, sf_dir):
     found = html.paragraphs(html.article_markup("html"))
-    return load(spark, sf_dir, "pages").select(
+    return load_texts(spark, sf_dir, "pages", "page_id", "url", "html").select(
         "page_id", scalar.article_id("url").alias("id"), html.headline("html").alias("title"),
         F.size(found).alias("n_paragraphs"), scalar.join_words(found).alias("content"),
     )
@@ -346,14 +352,14 @@ def lemma_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def tokenise(spark, sf_dir):
     found = tokens.encoder_tokens("text")
-    return load(spark, sf_dir, "documents").select(
+    return load_texts(spark, sf_dir, "documents", "doc_id", "text").select(
         "doc_id", F.size(found).alias("n_tokens"), scalar.join_words(found).alias("tokens")
     )
 
 
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), F.col("text").alias("content"), "lang", "source"
+    return load_texts(
+        spark, sf_dir, "documents", F.col("doc_id").alias("id"), F.col("text").alias("content"), "lang", "source"
     )
 
 
@@ -374,13 +380,9 @@ def normalise_incremental(spark, sf_dir):
 
 # --- vectors
 
-def _bagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tfidf.bags(_articles(spark, sf_dir), "content")
-
-
 @query
 def vocabulary(spark, sf_dir):
-    classes = tfidf.collapse_copies(_bagged(spark, sf_dir))
+    classes = tfidf.collapse_copies(tfidf.bags(_articles(spark, sf_dir), "content"))
     return tfidf.fit_vocabulary(classes).select("word", "feature_matrix_index", "document_frequency")
 
 
@@ -444,27 +446,26 @@ def tfidf_dense_vectors(spark, sf_dir):
     """Part names have a vocabulary small enough for one slot per word."""
     parts = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
     encoded, words = tfidf.encode_texts(parts, text="name")
-    dense = tfidf.dense_vectors(encoded, words.count(), parts)
-    return dense.select("id", _decimals("encoded").alias("encoded"))
+    slots = tfidf.dense_vectors(encoded, words.count(), parts)
+    return slots.select("id", _decimals("encoded").alias("encoded"))
 
 
 @query
 def dense_cosine(spark, sf_dir):
     vectors = load(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("encoded")
+        F.col("vec_id").alias("id"), F.col("embedding").alias("encoded")
     )
-    pairs = similarity.similar_documents(tfidf.from_dense(vectors), DENSE_THRESHOLD)
+    pairs = dense.similar_vectors(vectors, DENSE_THRESHOLD)
     return pairs.select("id", "similar_id", F.round("score", 6).alias("score"))
 
 
 def _class_pairs(spark: SparkSession, sf_dir: str, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(pairs, members, classes)`` of the documents; members without a word are left out."""
-    bagged = _bagged(spark, sf_dir)
-    classes = materialise(tfidf.collapse_copies(bagged), "classes")
+    classes, member_table = tfidf.collapse_texts(_articles(spark, sf_dir), "content")
     words = materialise(tfidf.fit_vocabulary(classes), "vocabulary")
     pairs = similarity.similar_pairs(tfidf.encode(classes, words), threshold)
     worded = classes.where(F.size("bag") > 0)
-    return pairs, tfidf.members(bagged, worded), worded
+    return pairs, member_table.join(worded.select("class_id"), "class_id", "left_semi"), worded
 
 
 @query
