@@ -46,7 +46,7 @@ def similar_vectors(vectors: DataFrame, threshold: float, rows_per_slice: int =
     )
     class_vectors = classes.select(F.col("class_id").alias("id"), "unit")
     pairs = _similar_classes(class_vectors, threshold, rows_per_slice)
-    return expand_to_documents(pairs, members(unit, classes), class_vectors.select("id"))
+    return expand_to_documents(pairs, members(unit, classes))
 
 
 def _unit(vectors: DataFrame) -> DataFrame:

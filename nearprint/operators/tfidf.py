@@ -134,7 +134,12 @@ def raw_weights(
 
 def unit_length(weights: DataFrame) -> DataFrame:
     """Divide each vector by its Euclidean norm; a zero vector stays zero."""
-    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy("id")))
+    # Summed in index order, so equal vectors get equal weights to the last bit.
+    whole = (
+        W.partitionBy("id").orderBy("feature_matrix_index")
+        .rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    )
+    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(whole))
     return weights.withColumn("weight", F.when(norm > 0, F.col("weight") / norm).otherwise(F.lit(0.0)))
 
 

@@ -481,8 +481,8 @@ def similar_groups(spark, sf_dir):
 
 
 def document_pairs(spark: SparkSession, sf_dir: str, threshold: float) -> DataFrame:
-    pairs, member_table, classes = _class_pairs(spark, sf_dir, threshold)
-    documents = similarity.expand_to_documents(pairs, member_table, classes.select(F.col("class_id").alias("id")))
+    pairs, member_table, _ = _class_pairs(spark, sf_dir, threshold)
+    documents = similarity.expand_to_documents(pairs, member_table)
     return documents.select(
         "id", F.col("similar_id").alias("similar_article_id"), F.round("score", 6).alias("similarity_score")
     )

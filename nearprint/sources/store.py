@@ -58,11 +58,20 @@ class TableStore:
         """Run a statement with ``:name`` parameters."""
         self.spark.sql(sql, args=params or None)
 
-    def create(self, table: str, schema: str, columns: T.StructType) -> None:
-        """Create an empty table unless it exists."""
+    def create(
+        self, table: str, schema: str, columns: T.StructType, partition_by: tuple[str, ...] = ()
+    ) -> None:
+        """Create an empty table unless it exists.  Partition columns come last in it."""
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{schema.replace('`', '``')}`")
         if not self.spark.catalog.tableExists(qualified(table, schema)):
-            self.spark.createDataFrame([], columns).write.saveAsTable(qualified(table, schema), format="parquet")
+            empty = self.spark.createDataFrame([], columns)
+            empty.write.saveAsTable(qualified(table, schema), format="parquet", partitionBy=list(partition_by))
+
+    def partition_columns(self, table: str, schema: str) -> list[str]:
+        name = qualified(table, schema)
+        if not self.spark.catalog.tableExists(name):
+            return []
+        return [c.name for c in self.spark.catalog.listColumns(name) if c.isPartition]
 
     def write(self, df: DataFrame, table: str, schema: str, mode: str = "fail") -> None:
         """Write a table: ``fail`` if it exists, ``append`` or ``replace``."""
@@ -70,9 +79,11 @@ class TableStore:
         if mode == "replace":
             self._swap(df, table, schema)
         elif mode in modes:
+            kept = []
             if mode == "append" and self.spark.catalog.tableExists(qualified(table, schema)):
                 df = df.select(*self.columns(table, schema))
-            df.write.mode(modes[mode]).saveAsTable(qualified(table, schema), format="parquet")
+                kept = self.partition_columns(table, schema)
+            df.write.mode(modes[mode]).saveAsTable(qualified(table, schema), format="parquet", partitionBy=kept)
         else:
             raise ValueError("The `mode` must be 'fail', 'append' or 'replace'.")
 
@@ -112,7 +123,8 @@ class TableStore:
         aside, old = qualified(f"{table}__next", schema), qualified(f"{table}__old", schema)
         self.recover(table, schema)
         self.spark.sql(f"DROP TABLE IF EXISTS {aside}")
-        df.write.saveAsTable(aside, format="parquet")
+        kept = [c for c in self.partition_columns(table, schema) if c in df.columns]
+        df.write.saveAsTable(aside, format="parquet", partitionBy=kept)
         if self.spark.catalog.tableExists(name):
             self.spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
         self.spark.sql(f"ALTER TABLE {aside} RENAME TO {name}")
