@@ -178,7 +178,7 @@ def encode_texts(
     """
     classes, member_table = collapse_texts(texts, text)
     if vocabulary is None:
-        vocabulary = materialise(fit_vocabulary(classes), "vocabulary")
+        vocabulary = fit_vocabulary(classes)
         encoded = encode(classes, vocabulary)
     else:
         basis = classes if corpus is None else collapse_texts(corpus, text)[0]

@@ -60,6 +60,16 @@ def _anchors(table: str, extra: str) -> str:
               FROM (SELECT {extra}, regexp_extract_all(html, {_quote(html.ANCHOR)}) AS found FROM {table}))"""
 
 
+def _paragraphs() -> str:
+    """``parts``: the paragraph texts of each page's article."""
+    first = f"string_split_regex(p, {_quote(html.PARAGRAPH_END)})[1]"
+    return f"""
+        SELECT page_id, url, visible, list_transform(
+            string_split_regex(regexp_extract(visible, {_quote(html.ARTICLE)}, 1), {_quote(html.PARAGRAPH_START)})[2:],
+            lambda p: {_without_tags(first)}) AS parts
+        FROM (SELECT page_id, url, {_visible("html")} AS visible FROM pages)"""
+
+
 # --- TF-IDF in plain SQL
 
 ENCODER_WORDS = f"regexp_extract_all(lower(text), {_quote(ENCODER_TOKEN)})"
@@ -236,11 +246,23 @@ def sql() -> dict[str, str]:
             SELECT page_id, md5(url) AS id,
                    {_without_tags(f"regexp_extract(visible, {_quote(html.HEADLINE)}, 1)")} AS title,
                    CAST(len(parts) AS INTEGER) AS n_paragraphs, array_to_string(parts, ' ') AS content
-            FROM (SELECT page_id, url, visible, list_transform(
-                      string_split_regex(regexp_extract(visible, {_quote(html.ARTICLE)}, 1),
-                                         {_quote(html.PARAGRAPH_START)})[2:],
-                      lambda p: {_without_tags(f"string_split_regex(p, {_quote(html.PARAGRAPH_END)})[1]")}) AS parts
-                  FROM (SELECT page_id, url, {_visible("html")} AS visible FROM pages))""",
+            FROM ({_paragraphs()})""",
+        "parsed_articles": f"""
+            SELECT md5(url) AS id, url,
+                   {_without_tags(f"regexp_extract(visible, {_quote(html.HEADLINE)}, 1)")} AS title,
+                   array_to_string(parts, ' ') AS content
+            FROM ({_paragraphs()})""",
+        "parsed_authors": f"""
+            SELECT columnist, 'https://news.example' || href AS homepage FROM (
+                SELECT url, pos, href, {_title_case("txt")} AS columnist
+                FROM ({_anchors("pages", "url")}) WHERE href <> '')
+            QUALIFY row_number() OVER (PARTITION BY columnist ORDER BY url DESC, pos DESC) = 1""",
+        "parsed_author_links": f"""
+            SELECT columnist, md5(link) AS article_id, link AS url FROM (
+                SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) AS columnist,
+                       'https://news.example' || href AS link
+                FROM ({_anchors("pages", "url")}) WHERE href <> '' AND NOT contains(href, 'pageOffset'))
+            QUALIFY row_number() OVER (PARTITION BY link ORDER BY columnist) = 1""",
         "tokenise": f"""
             SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, array_to_string(t, ' ') AS tokens
             FROM (SELECT doc_id, {ENCODER_WORDS} AS t FROM documents)""",

@@ -15,9 +15,9 @@ from pyspark.sql import types as T
 
 from nearprint.functions import html, scalar, tokens
 from nearprint.operators import dense, keyed, recommend, similarity, text, tfidf
-from nearprint.sources import api, files
+from nearprint.sources import api, files, sites
 from nearprint.sources.store import TableStore, min_or_max
-from nearprint.storage import materialise, new_folder, spread
+from nearprint.storage import new_folder, spread
 from nearprint.streaming.ingest import ingest_new_only
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -339,6 +339,42 @@ def article_paragraphs(spark, sf_dir):
     )
 
 
+# The given pages as a site: everything in the navigation is by an author.
+GIVEN_PAGES = sites.Site(
+    publication="Pages",
+    base_url="https://news.example",
+    title=(sites.element("article"), sites.element("h1")),
+    body=sites.element("article"),
+    paragraph=sites.element("p"),
+    links=sites.element("nav"),
+    link=(sites.element("li"), sites.element("a")),
+    unwanted_link="pageOffset",
+    authors=(sites.element("nav"), sites.element("a")),
+)
+
+
+def _site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load_texts(spark, sf_dir, "pages", "url", "html")
+
+
+@query
+def parsed_articles(spark, sf_dir):
+    return sites.read_articles(_site_pages(spark, sf_dir), GIVEN_PAGES)
+
+
+@query
+def parsed_authors(spark, sf_dir):
+    return sites.read_authors(_site_pages(spark, sf_dir), GIVEN_PAGES)
+
+
+@query
+def parsed_author_links(spark, sf_dir):
+    """Every page is the home page of its host."""
+    pages = _site_pages(spark, sf_dir)
+    host = F.regexp_extract("url", r"://([^/?#]*)", 1)
+    return sites.read_links(pages, GIVEN_PAGES, pages.select(host.alias("columnist"), F.col("url").alias("homepage")))
+
+
 # --- text
 
 def lemma_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -400,7 +436,7 @@ def tfidf_refit(spark, sf_dir):
 def tfidf_fixed_vocabulary(spark, sf_dir):
     """The words of ``benchmark`` as vocabulary; documents without any of them keep a row."""
     items = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
-    words = materialise(tfidf.fit_vocabulary(tfidf.collapse_copies(tfidf.bags(items, "text"))), "vocabulary")
+    words = tfidf.fit_vocabulary(tfidf.collapse_copies(tfidf.bags(items, "text")))
     articles = _articles(spark, sf_dir)
     encoded, _ = tfidf.encode_texts(articles, words, text="content")
     kept = articles.select("id").join(_rounded(encoded), "id", "left")
@@ -411,7 +447,7 @@ def _incremental(spark: SparkSession, sf_dir: str, whole_corpus: bool) -> DataFr
     articles = _articles(spark, sf_dir)
     labels = load(spark, sf_dir, "labels")
     known = keyed.contained(articles, labels, "id", "doc_id")
-    words = materialise(tfidf.fit_vocabulary(tfidf.collapse_copies(tfidf.bags(known, "content"))), "vocabulary")
+    words = tfidf.fit_vocabulary(tfidf.collapse_copies(tfidf.bags(known, "content")))
     fresh = keyed.unprocessed(articles, labels, "id", "doc_id")
     encoded, _ = tfidf.encode_texts(fresh, words, articles if whole_corpus else None, text="content")
     return _rounded(encoded)
@@ -462,7 +498,7 @@ def dense_cosine(spark, sf_dir):
 def _class_pairs(spark: SparkSession, sf_dir: str, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(pairs, members, classes)`` of the documents; members without a word are left out."""
     classes, member_table = tfidf.collapse_texts(_articles(spark, sf_dir), "content")
-    words = materialise(tfidf.fit_vocabulary(classes), "vocabulary")
+    words = tfidf.fit_vocabulary(classes)
     pairs = similarity.similar_pairs(tfidf.encode(classes, words), threshold)
     worded = classes.where(F.size("bag") > 0)
     return pairs, member_table.join(worded.select("class_id"), "class_id", "left_semi"), worded

@@ -16,14 +16,17 @@ SETTINGS = {
 }
 
 
-def local_session(name: str, cores: int | str = "*", memory: str = "8g") -> SparkSession:
+def local_session(
+    name: str, cores: int | str = "*", memory: str = "8g", partitions: int | None = None
+) -> SparkSession:
     """A single-machine session for tests and benchmarks."""
-    partitions = "8" if cores == "*" else str(cores)
+    if partitions is None:
+        partitions = 8 if cores == "*" else int(cores)
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.driver.memory", memory)
-        .config("spark.sql.shuffle.partitions", partitions)
+        .config("spark.sql.shuffle.partitions", str(partitions))
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)

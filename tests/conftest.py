@@ -17,7 +17,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("tests", memory="4g")
+    session = local_session("tests", memory="4g", partitions=4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
