@@ -90,10 +90,7 @@ def check_columns(given: list[str], wanted: list[str]) -> None:
     """Raise unless both hold the same column names, in any order."""
     difference = sorted(set(given) ^ set(wanted))
     if difference:
-        raise ValueError(
-            "The column names in the dataframe are not identical to that of the target table; "
-            f"only one side has: {', '.join(difference)}"
-        )
+        raise ValueError(f"columns differ from those of the table: {', '.join(difference)}")
 
 
 def merge_vertices(vertices: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -31,15 +31,15 @@ class TableStore:
     ) -> DataFrame:
         """A whole table, or a query with ``:name`` parameters bound as typed values."""
         if table and query:
-            raise ValueError("Only one of `table` or `query` can be used.")
+            raise ValueError("give a table or a query, not both")
         if table and not schema:
-            raise ValueError("Both a `schema` and `table` must be provided.")
+            raise ValueError("a table needs the schema it is in")
         if params and not query:
-            raise ValueError("`params` have been provided but no `query` to use them in")
+            raise ValueError("params belong to a query")
         if query:
             return self.spark.sql(query, args=params or None)
         if not table:
-            raise ValueError("Either a `table` or a `query` is needed.")
+            raise ValueError("give a table or a query")
         return self.spark.table(qualified(table, schema))
 
     def columns(self, table: str, schema: str) -> list[str]:
@@ -85,7 +85,7 @@ class TableStore:
                 kept = self.partition_columns(table, schema)
             df.write.mode(modes[mode]).saveAsTable(qualified(table, schema), format="parquet", partitionBy=kept)
         else:
-            raise ValueError("The `mode` must be 'fail', 'append' or 'replace'.")
+            raise ValueError(f"unknown mode {mode!r}: use fail, append or replace")
 
     def insert_new_only(
         self, df: DataFrame, table: str, schema: str, key: str | list[str], order: list[Column] | None = None
@@ -135,5 +135,5 @@ class TableStore:
 def min_or_max(df: DataFrame, which: str, column: str) -> DataFrame:
     """One row with the smallest or largest value, named after the function."""
     if which not in ("min", "max"):
-        raise ValueError("The `which` argument must be either 'min' or 'max'.")
+        raise ValueError(f"{which!r} is neither min nor max")
     return df.agg(getattr(F, which)(column).alias(which))
