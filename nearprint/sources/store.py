@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,30 @@ def qualified(table: str, schema: str) -> str:
     return ".".join("`" + part.replace("`", "``") + "`" for part in (schema, table))
 
 
+@dataclass(frozen=True)
+class Layout:
+    """Partition columns and buckets of a table."""
+
+    partition_by: tuple[str, ...] = ()
+    bucket_by: str | None = None
+    buckets: int = 0
+
+    def only(self, columns: list[str]) -> Layout:
+        """The layout as far as these columns allow it."""
+        kept = tuple(c for c in self.partition_by if c in columns)
+        return Layout(kept, self.bucket_by, self.buckets) if self.bucket_by in columns else Layout(kept)
+
+    def arranged(self, df: DataFrame) -> DataFrame:
+        """Rows of one bucket in one task, so that a write adds one file to each bucket."""
+        return df.repartition(self.buckets, self.bucket_by) if self.buckets else df
+
+    def save(self, df: DataFrame, name: str) -> None:
+        writer = self.arranged(df).write.format("parquet").partitionBy(*self.partition_by)
+        if self.buckets:
+            writer = writer.bucketBy(self.buckets, self.bucket_by)
+        writer.saveAsTable(name)
+
+
 class TableStore:
     """Tables of named schemas, each schema a database of the session catalog."""
 
@@ -59,31 +84,45 @@ class TableStore:
         self.spark.sql(sql, args=params or None)
 
     def create(
-        self, table: str, schema: str, columns: T.StructType, partition_by: tuple[str, ...] = ()
+        self,
+        table: str,
+        schema: str,
+        columns: T.StructType,
+        partition_by: tuple[str, ...] = (),
+        bucket_by: str | None = None,
+        buckets: int = 0,
     ) -> None:
-        """Create an empty table unless it exists.  Partition columns come last in it."""
+        """Create an empty table unless it exists.  Partition columns come last in it.
+
+        Tables bucketed alike by their key are anti-joined and joined where they lie: an
+        incremental job then shuffles none of the rows that are already stored.
+        """
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{schema.replace('`', '``')}`")
         if not self.spark.catalog.tableExists(qualified(table, schema)):
-            empty = self.spark.createDataFrame([], columns)
-            empty.write.saveAsTable(qualified(table, schema), format="parquet", partitionBy=list(partition_by))
+            layout = Layout(tuple(partition_by), bucket_by, buckets if bucket_by else 0)
+            layout.save(self.spark.createDataFrame([], columns), qualified(table, schema))
 
-    def partition_columns(self, table: str, schema: str) -> list[str]:
+    def layout(self, table: str, schema: str) -> Layout:
+        """How the files of a table are laid out; the plain layout if there is no table."""
         name = qualified(table, schema)
         if not self.spark.catalog.tableExists(name):
-            return []
-        return [c.name for c in self.spark.catalog.listColumns(name) if c.isPartition]
+            return Layout()
+        partitions = tuple(c.name for c in self.spark.catalog.listColumns(name) if c.isPartition)
+        described = {r["col_name"]: r["data_type"] for r in self.spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+        if "Num Buckets" not in described:
+            return Layout(partitions)
+        return Layout(partitions, described["Bucket Columns"].strip("[]`"), int(described["Num Buckets"]))
 
     def write(self, df: DataFrame, table: str, schema: str, mode: str = "fail") -> None:
         """Write a table: ``fail`` if it exists, ``append`` or ``replace``."""
-        modes = {"fail": "errorifexists", "append": "append"}
+        name = qualified(table, schema)
         if mode == "replace":
             self._swap(df, table, schema)
-        elif mode in modes:
-            kept = []
-            if mode == "append" and self.spark.catalog.tableExists(qualified(table, schema)):
-                df = df.select(*self.columns(table, schema))
-                kept = self.partition_columns(table, schema)
-            df.write.mode(modes[mode]).saveAsTable(qualified(table, schema), format="parquet", partitionBy=kept)
+        elif mode == "append" and self.spark.catalog.tableExists(name):
+            layout = self.layout(table, schema)
+            layout.arranged(df.select(*self.columns(table, schema))).write.insertInto(name)
+        elif mode in ("append", "fail"):
+            Layout().save(df, name)
         else:
             raise ValueError(f"unknown mode {mode!r}: use fail, append or replace")
 
@@ -94,9 +133,8 @@ class TableStore:
 
         Running it again with the same rows adds nothing, so a failed run is just repeated.
         """
-        target = self.read(table, schema)
-        rows = new_rows(target, df, key, order)
-        rows.write.mode("append").insertInto(qualified(table, schema))
+        rows = new_rows(self.read(table, schema), df, key, order)
+        self.layout(table, schema).arranged(rows).write.insertInto(qualified(table, schema))
 
     def replace(self, df: DataFrame, table: str, schema: str) -> None:
         """Replace the contents and keep the columns, also when ``df`` reads the table."""
@@ -123,8 +161,7 @@ class TableStore:
         aside, old = qualified(f"{table}__next", schema), qualified(f"{table}__old", schema)
         self.recover(table, schema)
         self.spark.sql(f"DROP TABLE IF EXISTS {aside}")
-        kept = [c for c in self.partition_columns(table, schema) if c in df.columns]
-        df.write.saveAsTable(aside, format="parquet", partitionBy=kept)
+        self.layout(table, schema).only(df.columns).save(df, aside)
         if self.spark.catalog.tableExists(name):
             self.spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
         self.spark.sql(f"ALTER TABLE {aside} RENAME TO {name}")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import os
 import sys
 import uuid
+from contextlib import contextmanager
 
 import pytest
 
@@ -41,3 +42,15 @@ def store(spark):
 def rows():
     """Rows of a frame as a sorted list of tuples."""
     return lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+@contextmanager
+def settings(spark, values):
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

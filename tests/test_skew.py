@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 import pytest
 from pyspark.sql import functions as F
 
 from nearprint.operators import tfidf
 from nearprint.storage import materialise
+from tests.conftest import settings
 
 SMALL = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -20,18 +19,6 @@ SMALL = {
 }
 
 
-@contextmanager
-def settings(spark, values):
-    before = {key: spark.conf.get(key, None) for key in values}
-    for key, value in values.items():
-        spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-
-
 def executed_plan(df) -> str:
     df.collect()
     return df._jdf.queryExecution().executedPlan().toString()
