@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from nearprint.functions import html, scalar
 from nearprint.functions.tokens import ENCODER_TOKEN, WORD_TOKEN
-from nearprint.operators.text import default_stop_words
 from nearprint.plans.queries import (
     DENSE_THRESHOLD, NEWEST, PAIR_THRESHOLD, RECOMMENDATIONS,
 )
@@ -114,9 +113,17 @@ PAIRS = f"""pairs AS (
 
 # --- normalisation
 
+STOPS = {
+    "en": "the of and to in a is that it for was with as on be by at",
+    "fr": "le la les de des du un une et est que qui en dans pour au",
+    "de": "der die das und ist von zu den ein eine mit für im auf auch",
+    "es": "el la los las de que y en un una se por con para su no",
+}
+
+
 def _normalised(where: str, lemmas: str) -> str:
     stops = ", ".join(
-        f"({_quote(code)}, {_quote(word)})" for code, words in default_stop_words().items() for word in dict.fromkeys(words)
+        f"({_quote(code)}, {_quote(word)})" for code, listed in STOPS.items() for word in listed.split()
     )
     return f"""
     WITH stop(lang, word) AS (VALUES {stops}),

@@ -17,7 +17,7 @@ from nearprint.functions import html, scalar, tokens
 from nearprint.operators import dense, keyed, recommend, similarity, text, tfidf
 from nearprint.sources import api, files, sites
 from nearprint.sources.store import TableStore, min_or_max
-from nearprint.storage import new_folder, spread
+from nearprint.storage import new_folder
 from nearprint.streaming.ingest import ingest_new_only
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,13 @@ DENSE_THRESHOLD = 0.3
 RECOMMENDATIONS = 3
 NEWEST = 100
 PAGE_SIZE = 200
+# Plain lists, so that the same words can stand in the SQL.
+STOPS = {
+    "en": ("the", "of", "and", "to", "in", "a", "is", "that", "it", "for", "was", "with", "as", "on", "be", "by", "at"),
+    "fr": ("le", "la", "les", "de", "des", "du", "un", "une", "et", "est", "que", "qui", "en", "dans", "pour", "au"),
+    "de": ("der", "die", "das", "und", "ist", "von", "zu", "den", "ein", "eine", "mit", "für", "im", "auf", "auch"),
+    "es": ("el", "la", "los", "las", "de", "que", "y", "en", "un", "una", "se", "por", "con", "para", "su", "no"),
+}
 
 
 def query(function: Query) -> Query:
@@ -41,7 +48,7 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def load_texts(spark: SparkSession, sf_dir: str, table: str, *columns: Column | str) -> DataFrame:
     """Columns of a table whose rows are costly to work on."""
-    return spread(load(spark, sf_dir, table).select(*columns))
+    return load(spark, sf_dir, table).select(*columns)
 
 
 def scratch_store(spark: SparkSession) -> tuple[TableStore, str]:
@@ -402,7 +409,7 @@ def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def normalise_text(spark, sf_dir):
     return text.normalise(
-        _articles(spark, sf_dir), stops=text.default_stop_words(), lemmas=lemma_table(spark, sf_dir), lang="lang"
+        _articles(spark, sf_dir), stops=STOPS, lemmas=lemma_table(spark, sf_dir), lang="lang"
     )
 
 
@@ -410,7 +417,7 @@ def normalise_text(spark, sf_dir):
 def normalise_incremental(spark, sf_dir):
     done = load(spark, sf_dir, "labels")
     return text.normalise_new(
-        _articles(spark, sf_dir), done, "doc_id", stops=text.default_stop_words(), lang="lang"
+        _articles(spark, sf_dir), done, "doc_id", stops=STOPS, lang="lang"
     )
 
 
@@ -569,7 +576,7 @@ def stream_ingest_new_only(spark, sf_dir):
     store.create("events", schema, events.schema)
     for _ in range(2):
         ingest_new_only(
-            spark, sf_dir, events.schema, "events", schema, "event_id",
-            checkpoint=new_folder(spark, "stream"), pattern="events.parquet",
+            spark, f"{sf_dir}/events.parquet", events.schema, "events", schema, "event_id",
+            checkpoint=new_folder(spark, "stream"),
         )
     return store.read("events", schema)

@@ -41,13 +41,3 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Use all cores on a table that is stored in fewer pieces than there are cores.
-
-    For scans ahead of work that is costly per row.  A table of any size has more pieces
-    than that and is returned as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
