@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearprint.llm import mixing
+from nearprint.llm import mixing, quality
 from nearprint.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,3 +23,10 @@ def query(function: Query) -> Query:
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    keys, cut = quality.select(docs, quality.fit(docs, labels))
+    return keys.select("doc_id", "weight", (F.col("key") >= cut).alias("kept"))
