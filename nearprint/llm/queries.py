@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearprint.llm import mixing, quality
+from nearprint.llm import idstore, mixing, packing, quality
 from nearprint.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,3 +30,13 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     keys, cut = quality.select(docs, quality.fit(docs, labels))
     return keys.select("doc_id", "weight", (F.col("key") >= cut).alias("kept"))
+
+
+@query
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+@query
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idstore.encode_and_read(documents(spark, sf_dir))

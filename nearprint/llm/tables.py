@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nearprint.storage import materialise, new_folder
 
-__all__ = ["buckets", "documents", "materialise", "new_folder", "with_key"]
+__all__ = ["buckets", "doc_key", "documents", "materialise", "new_folder", "with_key"]
 
 LAST = 2**63 - 1
 
