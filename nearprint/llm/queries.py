@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearprint.llm import idstore, mixing, packing, quality
+from nearprint.llm import fingerprints, idstore, lines, mixing, packing, quality
 from nearprint.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,3 +40,14 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.encode_and_read(documents(spark, sf_dir))
+
+
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(documents(spark, sf_dir))
