@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearprint.llm import fingerprints, idstore, lines, mixing, packing, quality
+from nearprint.llm import fingerprints, idstore, lines, mixing, packing, quality, substrings, suffixes
 from nearprint.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,3 +51,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(documents(spark, sf_dir))
+
+
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(documents(spark, sf_dir))
+
+
+@query
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(documents(spark, sf_dir))
