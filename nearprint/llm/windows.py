@@ -27,6 +27,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,6 +126,15 @@ def _rows(schema: str, rows: list[tuple]) -> pa.Table:
     return _table(schema, [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in schema.split(", ")])
 
 
+def _pressed(values: np.ndarray) -> bytes:
+    """Letters and small numbers take half the room that the shuffle's own compression leaves them."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).view(np.uint8))
+
+
+def _loosened(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+
+
 def _packed_keys(key: np.ndarray) -> bytes:
     return np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
 
@@ -216,8 +226,8 @@ def send(kind: str, window: int, gram: int, n: int) -> Callable[[pa.Table, pa.Ta
             _, some, which = np.unique(content[at], return_index=True, return_inverse=True)
             data, size = _strings(units, first[at][some], stretch[at][some])
             rows.append((
-                block, b, size.astype("<u4").tobytes(), data.tobytes(), which.astype("<u4").tobytes(),
-                doc[text[at]].astype("<i8").tobytes(), first[at].astype("<u4").tobytes(),
+                block, b, _pressed(size.astype("<u4")), _pressed(data), _pressed(which.astype("<u4")),
+                _pressed(doc[text[at]].astype("<i8")), _pressed(first[at].astype("<u4")),
             ))
         return _rows(SENT, rows)
 
@@ -229,9 +239,9 @@ def count(kind: str, window: int, rank: Callable[[Units, np.ndarray, int], np.nd
 
     def run(sent: pa.Table) -> pa.Table:
         rows = sent.select(["block", "sizes", "which", "docs", "firsts"]).to_pylist()
-        sizes = [np.frombuffer(r["sizes"], "<u4").astype(np.int64) for r in rows]
+        sizes = [_loosened(r["sizes"], "<u4").astype(np.int64) for r in rows]
         size = np.concatenate(sizes)
-        buf = np.frombuffer(b"".join(b.as_py() for b in sent.column("bytes")), np.uint8)
+        buf = np.concatenate([_loosened(b.as_py(), "u1") for b in sent.column("bytes")])
         ends = np.cumsum(size)
         # Equal strings of different blocks become one.
         _, some, same = np.unique(codes.spans_hash(codes.rolling(buf), ends - size, ends), return_index=True, return_inverse=True)
@@ -241,8 +251,8 @@ def count(kind: str, window: int, rank: Callable[[Units, np.ndarray, int], np.nd
         at = units.window_starts(window)
         bounds = np.searchsorted(units.text[at], np.arange(len(some) + 1))  # windows of each string
         base = np.cumsum([0, *(len(s) for s in sizes)])
-        which = [same[np.frombuffer(r["which"], "<u4").astype(np.int64) + base[i]] for i, r in enumerate(rows)]
-        docs = [np.frombuffer(r["docs"], "<i8") for r in rows]
+        which = [same[_loosened(r["which"], "<u4").astype(np.int64) + base[i]] for i, r in enumerate(rows)]
+        docs = [_loosened(r["docs"], "<i8") for r in rows]
         all_which, all_docs = np.concatenate(which), np.concatenate(docs)
         order = np.argsort(all_which, kind="stable")
         least = np.minimum.reduceat(all_docs[order], _group_starts(all_which[order]))  # each string has an owner
@@ -256,7 +266,7 @@ def count(kind: str, window: int, rank: Callable[[Units, np.ndarray, int], np.nd
         for row, strings, doc in zip(rows, which, docs, strict=True):
             many = bounds[strings + 1] - bounds[strings]
             windows = _gather(np.arange(len(at)), bounds[strings], many)
-            first = np.frombuffer(row["firsts"], "<u4").astype(np.int64)
+            first = _loosened(row["firsts"], "<u4").astype(np.int64)
             unit = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(len(windows))
             unit = np.sort(unit[before[windows] < np.repeat(doc, many)])
             if len(unit):
@@ -294,7 +304,7 @@ def repeated(
     cover each other, and null ids come after all others.
     """
     spark = docs.sparkSession
-    n = 2 * buckets(spark)
+    n = 4 * buckets(spark)
     chosen = docs.select(doc_key(id_column).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     blocks = max(1, -(-chosen.count() // BLOCK_DOCUMENTS))
     blocked = chosen.select(F.pmod(F.xxhash64("doc", "text"), F.lit(blocks)).alias("block"), "doc", "text")
