@@ -9,8 +9,9 @@ step.  The hash of any stretch of bytes comes from two entries of one running su
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
-from functools import cache
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -37,16 +38,20 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-@cache
-def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(_BASE, size), _powers(_INVERSE, size)
+def worker_state() -> dict:
+    """What a Python process keeps between tasks; functions and modules travel anew with each."""
+    return sys.modules.setdefault("nearprint_worker_state", ModuleType("nearprint_worker_state")).__dict__
 
 
 def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, kept for blocks of the usual size."""
     usual = BLOCK_BYTES + 1
-    tables = _power_tables(usual) if n <= usual else (_powers(_BASE, n), _powers(_INVERSE, n))
-    return tables[0][:n], tables[1][:n]
+    if n > usual:
+        return _powers(_BASE, n), _powers(_INVERSE, n)
+    state = worker_state()
+    if "powers" not in state:
+        state["powers"] = _powers(_BASE, usual), _powers(_INVERSE, usual)
+    return state["powers"][0][:n], state["powers"][1][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -9,13 +9,14 @@ have a Jaccard similarity of 0.85 or more, and a group is a connected component
     ``FLOOR`` in common has a chance below 1e-5.  So they also share one of the rarest
     ``K - FLOOR * K + 1`` values of either, and only these go into inverted lists.
 3.  Lists generate pairs.  Short ones give all theirs.  In a long one the smallest member, the
-    hub, meets all others; once links have merged them into one component, as in a group of
-    copies, the list is done.  Otherwise the next hubs follow, 16 times as many each round,
-    and meet only members of other components.
+    hub, meets all others.
 4.  The union-sketch estimate filters pairs, and the exact Jaccard similarity of the full sets
     verifies what is left.
+5.  A long list whose members links have merged into one component, as in a group of copies,
+    is done.  The others are put together to families, and these are compared on full sets,
+    block against block, without a row for each pair.
 
-No list is cut short: rounds go on until every list is done.
+No list is cut short.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearprint.llm import codes
@@ -36,7 +37,8 @@ K = 64
 FLOOR = 0.65
 #: Lists up to this length give all their pairs at once.
 SHORT_LIST = 16
-HUB_GROWTH = 16
+#: Members in a block of a family, on average.
+FAMILY_BLOCK = 512
 
 SETS = "doc bigint, n bigint, s1 bigint, s2 bigint, sketch binary"
 
@@ -221,23 +223,67 @@ def links(classes: DataFrame, docs: DataFrame, id_column: str = "doc_id", text:
         return materialise(pairs.mapInArrow(_verify, "a bigint, b bigint"), "verified")
 
     found = verified(_pairs_of_short_lists(lists))
-    open_lists = lists.where(F.col("df") > SHORT_LIST).select("value", "rep", "n")
-    hubs = 1
-    while not open_lists.isEmpty():
-        labels = components(found)
-        named = open_lists.join(labels, F.col("rep") == F.col("node"), "left").select("value", "rep", "n", F.coalesce("label", "rep").alias("label"))
-        mixed = named.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        named = materialise(named.join(mixed.select("value"), "value", "left_semi"), "open")
-        order = Window.partitionBy("value").orderBy("rep")
-        hub = named.withColumn("at", F.row_number().over(order)).where(F.col("at") <= hubs)
-        hub = hub.select("value", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-        met = named.join(hub, "value").where((F.col("rep") != F.col("a")) & (F.col("label") != F.col("label_a")))
-        found = materialise(found.union(verified(met.select("a", F.col("rep").alias("b"), "n_a", F.col("n").alias("n_b")))), "links")
-        last = hub.groupBy("value").agg(F.max("a").alias("last"))
-        rest = named.join(last, "value").where(F.col("rep") > F.col("last")).select("value", "rep", "n")
-        open_lists = materialise(rest, "open")
-        hubs *= HUB_GROWTH
-    return found
+    # The hub of each long list, its smallest member, meets all others.
+    long_lists = lists.where(F.col("df") > SHORT_LIST).select("value", "rep", "n")
+    hub = long_lists.groupBy("value").agg(F.min("rep").alias("a")).join(long_lists.withColumnsRenamed({"rep": "a", "n": "n_a"}), ["value", "a"])
+    met = long_lists.join(hub, "value").select("a", F.col("rep").alias("b"), "n_a", F.col("n").alias("n_b"))
+    found = materialise(found.union(verified(met)), "links")
+    labels = components(found)
+    named = long_lists.join(labels, F.col("rep") == F.col("node"), "left").select("value", "rep", F.coalesce("label", "rep").alias("label"))
+    mixed = named.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("rep").alias("hub")).where("low < high")
+    apart = materialise(named.join(mixed.select("value", "hub"), "value").select("rep", "hub"), "apart")
+    return found.union(family_links(apart, texts))
+
+
+def family_links(apart: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links within each family, at most one for each member of a block pair.
+
+    A family is what long lists ``(rep, hub)`` with links missing hold together.  It is cut
+    into blocks by hash, and every pair of blocks is compared in a task of its own, on full
+    sets; no pair of documents becomes a row.
+    """
+    families = components(apart.toDF("a", "b"))
+    sizes = families.groupBy("label").agg(F.count("*").alias("size"))
+    cut = families.join(sizes, "label").withColumn("blocks", F.ceil(F.col("size") / FAMILY_BLOCK))
+    own = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    paired = own.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
+    dealt = paired.select(
+        F.col("label").alias("family"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("node").alias("doc")
+    )
+    return dealt.join(texts, "doc").groupBy("family", "i", "j").applyInArrow(_compare, "a bigint, b bigint")
+
+
+def _compare(members: pa.Table) -> pa.Table:
+    """``(a, b)``: members that links join, each with the smallest that it reaches here."""
+    doc, own = members.column("doc").to_numpy(), members.column("own").to_numpy()
+    value, text = shingles(*codes.flat(members.column("text")))
+    size = np.bincount(text, minlength=len(doc))
+    _, column, df = np.unique(value, return_inverse=True, return_counts=True)
+    shared = df[column] > 1
+    column, text = np.unique(column[shared], return_inverse=True)[1], text[shared]
+    both = np.zeros((len(doc), len(doc)), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, text = column[order], text[order]
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [first, first + 4096])
+        has = np.zeros((len(doc), 4096), np.float32)
+        has[text[a:b], column[a:b] - first] = 1
+        both += has @ has.T
+    union = size[:, None] + size[None, :] - both
+    linked = (100 * both >= PERCENT * union) & (size[:, None] > 0)
+    i, j = members.column("i")[0].as_py(), members.column("j")[0].as_py()
+    if i != j:  # pairs within a block are compared where it meets itself
+        linked &= own[:, None] != own[None, :]
+    rank = np.argsort(np.argsort(doc, kind="stable"), kind="stable")
+    label, before = rank.copy(), None
+    while before is None or (label != before).any():
+        before = label.copy()
+        near = np.where(linked, label[None, :], len(doc)).min(axis=1, initial=len(doc))
+        label = np.minimum(label, near)
+    back = np.empty(len(doc), np.int64)
+    back[rank] = doc
+    moved = label != rank
+    return pa.table({"a": back[label[moved]], "b": doc[moved]})
 
 
 def groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:

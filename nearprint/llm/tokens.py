@@ -37,8 +37,6 @@ def tokenizer_path(name: str) -> str:
 class Encoder:
     """Ids of whole texts, as ``encode(text, add_special_tokens=False)`` gives them."""
 
-    _loaded: dict[tuple[str, str], Encoder] = {}
-
     def __init__(self, path: str, white: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -47,12 +45,13 @@ class Encoder:
         self.white = white
         self._forget()
 
-    @classmethod
-    def of(cls, path: str, white: str) -> Encoder:
+    @staticmethod
+    def of(path: str, white: str) -> Encoder:
         """One per worker process, which keeps what it has learnt between tasks."""
-        if (path, white) not in cls._loaded:
-            cls._loaded[path, white] = cls(path, white)
-        return cls._loaded[path, white]
+        state = codes.worker_state()
+        if (path, white) not in state:
+            state[path, white] = Encoder(path, white)
+        return state[path, white]
 
     def _forget(self) -> None:
         self.known = np.zeros(0, np.uint64)
