@@ -119,9 +119,15 @@ class Plan:
                 self._leave(room - rest * length, first + full, 1)
                 self._leave(room, first + full + 1, many - full - 1)
 
-    def find(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(self.key, (length << 44) + rank, "right") - 1
-        return self.sequence[at] + rank - self.first[at], self.offset[at]
+    def parts(self) -> tuple[np.ndarray, ...]:
+        return self.key, self.first, self.sequence, self.offset
+
+
+def find(plan: tuple[np.ndarray, ...], length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and offset of the pieces of given lengths and ranks."""
+    key, first, sequence, offset = plan
+    at = np.searchsorted(key, (length << 44) + rank, "right") - 1
+    return sequence[at] + rank - first[at], offset[at]
 
 
 def pack(
@@ -136,7 +142,7 @@ def pack(
     per_task = pieces.groupBy("length", "task").agg(F.count("*").alias("pieces"))
     per_task = materialise(per_task, "piece-counts")
     counts = per_task.groupBy("length").agg(F.sum("pieces")).collect()  # a row for each length up to capacity
-    plan = docs.sparkSession.sparkContext.broadcast(Plan({r[0]: r[1] for r in counts}, capacity))
+    plan = docs.sparkSession.sparkContext.broadcast(Plan({r[0]: r[1] for r in counts}, capacity).parts())
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     ahead = per_task.select("length", "task", F.coalesce(F.sum("pieces").over(earlier), F.lit(0)).alias("ahead"))
     ranked = pieces.join(ahead, ["length", "task"]).withColumn("rank", F.col("rank") + F.col("ahead"))
@@ -144,7 +150,7 @@ def pack(
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length = batch.column("length").to_numpy()
-            sequence, offset = plan.value.find(length, batch.column("rank").to_numpy())
+            sequence, offset = find(plan.value, length, batch.column("rank").to_numpy())
             kept = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays(
                 [*kept, pa.array(sequence), pa.array(offset)],

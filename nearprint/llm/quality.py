@@ -158,11 +158,13 @@ def best_cutoff(weights: np.ndarray, good: np.ndarray) -> float:
 
 def weigh(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns ``keep`` and the log weight of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain values: a broadcast is read where this package need not be installed.
+    shared = docs.sparkSession.sparkContext.broadcast((model.ratio, model.cutoff))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Model(*shared.value)
         for block in codes.blocks(batches, "__text"):
-            weights = pa.array(shared.value.weights(block.column("__text")))
+            weights = pa.array(known.weights(block.column("__text")))
             columns = [block.column(c) for c in keep] + [weights]
             yield pa.RecordBatch.from_arrays(columns, [*keep, "weight"])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearprint.llm import fingerprints, idstore, lines, mixing, neardup, packing, quality, substrings, suffixes
+from nearprint.llm import fingerprints, idstore, lines, mixing, neardup, packing, quality, rules, substrings, suffixes
 from nearprint.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,3 +66,8 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(documents(spark, sf_dir))
+
+
+@query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.apply(documents(spark, sf_dir))
