@@ -25,9 +25,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``n_chars`` follows the text.  A text that had no word before stays as it is.
     """
-    kept = lines.dedup(docs)
-    emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    changed = kept.where(~emptied).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    kept = lines.dedup(docs, counts=("__lines", "__removed"))
+    emptied = (F.col("__removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    changed = kept.where(~emptied).withColumn("n_chars", F.when(F.col("__removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return changed.select(*docs.columns)
 
 

@@ -89,8 +89,9 @@ def covered(lines: Lines, seen: list[np.ndarray], length: int = WINDOW) -> np.nd
     return out
 
 
-def dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = WINDOW) -> DataFrame:
-    """All rows and columns, ``text`` without the lines removed, and ``n_lines``, ``n_removed``.
+def dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = WINDOW, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """All rows and columns, ``text`` without the lines removed, and under the names ``counts`` how many
+    lines there were and how many were removed.
 
     A null text stays null and has no lines.  Null ids order after all others.  Documents
     that share an id do not come before each other.
@@ -118,7 +119,7 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length
             count[block.column(text).is_null().to_numpy(zero_copy_only=False)] = 0
             columns = [block.column(c) for c in names]
             columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(count.astype(np.int64)), pa.array(removed.astype(np.int64))], [*names, "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(count.astype(np.int64)), pa.array(removed.astype(np.int64))], [*names, *counts])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.select(*names, "__seen").mapInArrow(apply, f"{kinds}, n_lines bigint, n_removed bigint")
+    return joined.select(*names, "__seen").mapInArrow(apply, f"{kinds}, {counts[0]} bigint, {counts[1]} bigint")

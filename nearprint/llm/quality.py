@@ -156,8 +156,8 @@ def best_cutoff(weights: np.ndarray, good: np.ndarray) -> float:
     return float((edges[widest] + edges[widest + 1]) / 2)
 
 
-def weigh(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and the log weight of every document."""
+def weigh(docs: DataFrame, model: Model, keep: list[str], name: str = "weight") -> DataFrame:
+    """The columns ``keep`` and the log weight of every document, under ``name``."""
     # Plain values: a broadcast is read where this package need not be installed.
     shared = docs.sparkSession.sparkContext.broadcast((model.ratio, model.cutoff))
 
@@ -166,10 +166,10 @@ def weigh(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         for block in codes.blocks(batches, "__text"):
             weights = pa.array(known.weights(block.column("__text")))
             columns = [block.column(c) for c in keep] + [weights]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "weight"])
+            yield pa.RecordBatch.from_arrays(columns, [*keep, name])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "weight double"])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"{name} double"])
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(score, schema)
 
 
@@ -224,5 +224,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATU
     """The rows of the documents drawn, with their own columns; nothing is shuffled."""
     model = fit(docs, labels)
     _, cut = select(docs, model, None, temperature, seed)
-    weighed = weigh(docs, model, docs.columns)
-    return weighed.where(noisy("weight", seed, temperature) >= cut).select(*docs.columns)
+    weighed = weigh(docs, model, docs.columns, "__weight")
+    return weighed.where(noisy("__weight", seed, temperature) >= cut).select(*docs.columns)

@@ -1,0 +1,50 @@
+"""Importance resampling: held-out accuracy, exact top-k, awkward rows."""
+
+from __future__ import annotations
+
+import numpy as np
+
+from nearprint.llm import quality
+from tests.llm.data import documents
+
+SF_DIR = "/root/testdata/sf0.1"
+
+
+def test_held_out_accuracy(spark):
+    docs, labels = spark.read.parquet(f"{SF_DIR}/documents.parquet"), spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    model = quality.fit(docs, labels.where("doc_id % 2 = 0"))
+    keys, cut = quality.select(docs, model)
+    judged = keys.join(labels.where("doc_id % 2 = 1"), "doc_id").select("quality", (keys.key >= cut).alias("kept")).collect()
+    good = [k for q, k in judged if q == 1]
+    bad = [k for q, k in judged if q == 0]
+    assert sum(good) / len(good) > 0.98
+    assert sum(bad) / len(bad) < 0.05
+
+
+def test_threshold_is_the_kth_largest(spark):
+    values = [float(v) for v in np.random.default_rng(1).normal(size=500)] + [9.0] * 50
+    keys = spark.createDataFrame([(v,) for v in values], "key double")
+    ordered = sorted(values, reverse=True)
+    for k in (1, 30, 51, 200, 549):
+        assert quality.threshold(keys, k, enough=20) == ordered[k - 1]
+    assert quality.threshold(keys, 550) == float("-inf")
+    assert quality.threshold(keys, 0) == float("inf")
+
+
+def test_awkward_rows(spark):
+    docs = documents(spark, extra=True)
+    labels = spark.createDataFrame([(3, 1, 0), (6, 1, 0), (511, 0, 0), (None, 1, 0), (9, None, None)], "doc_id bigint, quality int, toxic int")
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    assert 0 < kept.count() <= docs.count()
+    none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    assert quality.keep_good(docs, none).count() == docs.count()
+    empty = documents(spark, empty=True)
+    assert quality.keep_good(empty, labels).count() == 0
+
+
+def test_reruns_agree(spark):
+    docs = documents(spark)
+    labels = spark.createDataFrame([(3, 1, 0), (6, 1, 0), (511, 0, 0)], "doc_id bigint, quality int, toxic int")
+    first = sorted(map(repr, quality.keep_good(docs, labels).collect()))
+    assert first == sorted(map(repr, quality.keep_good(docs.repartition(5), labels).collect()))
