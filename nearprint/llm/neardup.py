@@ -6,7 +6,7 @@ have a Jaccard similarity of 0.85 or more, and a group is a connected component
 1.  Documents with equal sets form a class, and one of them speaks for it.
 2.  One hash function; the sketch of a set is its ``K`` smallest hashes.  In the union's
     sketch of two linked sets 0.85 of the values are common, give or take: fewer than
-    ``FLOOR`` in common has a chance below 1e-5.  So they also share one of the rarest
+    ``FLOOR`` in common has a chance of 3e-5 at exactly 0.85, and far less above.  So they also share one of the rarest
     ``K - FLOOR * K + 1`` values of either, and only these go into inverted lists.
 3.  Lists generate pairs.  Short ones give all theirs.  In a long one the smallest member, the
     hub, meets all others.
