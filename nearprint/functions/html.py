@@ -1,74 +1,80 @@
 """Text, titles, paragraphs, links and authors from HTML, as column expressions.
 
-These rules read markup without building a tree, so they stay in generated JVM code.
-Elements that must be matched by nesting (a container inside others of the same name)
-are read by :mod:`nearprint.sources.sites` instead.
+These rules read markup without building a tree, so they stay on the JVM; only texts that
+hold a character reference go through Python, in Arrow batches.  Elements that must be
+matched by nesting (a container inside others of the same name) are read by
+:mod:`nearprint.sources.sites` instead.
 """
 
 from __future__ import annotations
 
+from html import unescape
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nearprint.functions.scalar import _col, absolute_url, strip, title_case
 
-# Regular expressions in the common subset of Java and RE2 syntax.
-HIDDEN = (
-    r"(?is)<script\b[^>]*>.*?</script\s*>",
-    r"(?is)<style\b[^>]*>.*?</style\s*>",
-    r"(?s)<!--.*?-->",
-)
-TAG = r"<[^>]*>"
-TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
-HEADLINE = r"(?is)<h1\b[^>]*>(.*?)</h1\s*>"
-ARTICLE = r"(?is)<article\b[^>]*>(.*)</article\s*>"
-PARAGRAPH_START = r"(?i)<p\b[^>]*>"
-PARAGRAPH_END = r"(?i)</p\s*>"
-ANCHOR = r"(?is)<a\s[^>]*>.*?</a\s*>"
-HREF = r"(?is)^<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"']"
-
-# The character references decoded here, the ampersand last.
-ENTITIES = {
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&#39;": "'",
-    "&apos;": "'",
-    "&nbsp;": " ",
-    "&copy;": "©",
-    "&middot;": "·",
-    "&amp;": "&",
-}
+# The rest of a tag.  A ">" in a quoted value does not end it, and quotes count only after
+# "=".  Possessive, so that a page without a closing ">" costs no backtracking.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""
+_REST = rf"(?:[^=>]++|=\s*+{_VALUE}?+)*+>"
+
+# Whichever starts first hides the others inside it.
+HIDDEN = rf"(?is)<!--.*?-->|<script(?=[\s/>]){_REST}.*?</script\s*+>|<style(?=[\s/>]){_REST}.*?</style\s*+>"
+TAG = rf"<[/!?a-zA-Z]{_REST}"
+TITLE = rf"(?is)<title(?=[\s/>]){_REST}(.*?)</title\s*+>"
+HEADLINE = rf"(?is)<h1(?=[\s/>]){_REST}(.*?)</h1\s*+>"
+ARTICLE = rf"(?is)<article(?=[\s/>]){_REST}(.*?)</article\s*+>"
+PARAGRAPH_START = rf"(?i)<p(?=[\s/>]){_REST}"
+PARAGRAPH_END = r"(?i)</p\s*+>"
+ANCHOR = rf"(?is)<a(?=\s){_REST}.*?</a\s*+>"
+# Attributes of other names are passed over whole, with what their values hold.
+HREF = rf"(?is)^<a(?:[\s/]++(?!href[\s=])[^\s/>=]++(?:\s*+=\s*+{_VALUE}?+)?+)*+[\s/]++href\s*+=\s*+({_VALUE})"
+QUOTED = r"""(?s)^(["'])(.*)\1$"""
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _unescaped(texts: pa.Array) -> pa.Array:
+    rows = texts.to_pylist()
+    return pa.array([row and [text and unescape(text) for text in row] for row in rows], pa.list_(pa.string()))
+
+
+def decode_all(texts: Column) -> Column:
+    """An array of texts with every character reference decoded, as a parser would."""
+    # Only arrays that hold a reference are sent to Python.
+    some = F.exists(texts, lambda text: text.contains("&"))
+    return F.coalesce(_unescaped(F.when(some, texts)), texts)
 
 
 def decode_entities(text: Column | str) -> Column:
-    out = _col(text)
-    for entity, character in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(character))
-    return out
+    return F.get(decode_all(F.array(_col(text))), F.lit(0))
 
 
 def visible_markup(html: Column | str) -> Column:
     """The markup without scripts, style sheets and comments."""
-    out = _col(html)
-    for pattern in HIDDEN:
-        out = F.regexp_replace(out, pattern, "")
-    return out
+    return F.regexp_replace(_col(html), HIDDEN, "")
+
+
+def _untagged(markup: Column) -> Column:
+    return F.regexp_replace(markup, TAG, "")
 
 
 def without_tags(markup: Column | str) -> Column:
     """The text between the tags, unchanged otherwise."""
-    return decode_entities(F.regexp_replace(_col(markup), TAG, ""))
+    return decode_entities(_untagged(_col(markup)))
 
 
 def visible_text(html: Column | str) -> Column:
     """Every text node stripped, empty ones dropped, joined by one space."""
-    nodes = F.transform(F.split(visible_markup(html), TAG), lambda node: strip(decode_entities(node)))
+    nodes = F.transform(decode_all(F.split(visible_markup(html), TAG)), strip)
     return F.array_join(F.filter(nodes, lambda node: node != ""), " ")
 
 
 def title(html: Column | str) -> Column:
-    return without_tags(F.regexp_extract(_col(html), TITLE, 1))
+    return without_tags(F.regexp_extract(visible_markup(html), TITLE, 1))
 
 
 def headline(html: Column | str) -> Column:
@@ -76,6 +82,7 @@ def headline(html: Column | str) -> Column:
 
 
 def article_markup(html: Column | str) -> Column:
+    """What the first article holds, up to the first end tag."""
     return F.regexp_extract(visible_markup(html), ARTICLE, 1)
 
 
@@ -87,18 +94,17 @@ def paragraphs(markup: Column | str) -> Column:
     """
     parts = F.split(_col(markup), PARAGRAPH_START)
     bodies = F.slice(parts, F.lit(2), F.size(parts))
-    return F.transform(bodies, lambda part: without_tags(F.get(F.split(part, PARAGRAPH_END), 0)))
+    return decode_all(F.transform(bodies, lambda part: _untagged(F.get(F.split(part, PARAGRAPH_END), 0))))
 
 
 def anchors(markup: Column | str) -> Column:
-    """``[(href, text)]`` of the links in document order."""
-    found = F.regexp_extract_all(_col(markup), F.lit(ANCHOR), F.lit(0))
-    pairs = F.transform(
-        found,
-        lambda a: F.struct(
-            decode_entities(F.regexp_extract(a, HREF, 1)).alias("href"),
-            without_tags(a).alias("text"),
-        ),
+    """``[(href, text)]`` of the links in document order; links in comments do not count."""
+    found = F.regexp_extract_all(visible_markup(markup), F.lit(ANCHOR), F.lit(0))
+    hrefs = F.transform(found, lambda a: F.regexp_replace(F.regexp_extract(a, HREF, 1), QUOTED, "$2"))
+    pairs = F.zip_with(
+        decode_all(hrefs),
+        decode_all(F.transform(found, _untagged)),
+        lambda href, text: F.struct(href.alias("href"), text.alias("text")),
     )
     return F.filter(pairs, lambda a: a["href"] != "")
 

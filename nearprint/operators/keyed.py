@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def unprocessed(source: DataFrame, done: DataFrame, key: str, done_key: str | None = None) -> DataFrame:
-    """Rows of ``source`` whose key is not in ``done``.  Keys are not null."""
-    known = done.select(F.col(done_key or key).alias(key))
+def unprocessed(source: DataFrame, done: DataFrame, key: str | list[str], done_key: str | None = None) -> DataFrame:
+    """Rows of ``source`` whose key, of one column or several, is not in ``done``.  Keys are not null."""
+    known = done.select(*key) if isinstance(key, list) else done.select(F.col(done_key or key).alias(key))
     return source.join(known, key, "left_anti")
 
 
@@ -34,7 +34,7 @@ def contained(source: DataFrame, target: DataFrame, key: str, target_key: str |
 
 
 def exists(df: DataFrame, condition: Column, name: str = "exists") -> DataFrame:
-    """One row: whether any row satisfies the condition.  Stops at the first."""
+    """One row: whether any row satisfies the condition.  Each task stops at its first match."""
     return df.where(condition).limit(1).agg((F.count(F.lit(1)) > 0).alias(name))
 
 

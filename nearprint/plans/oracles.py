@@ -2,11 +2,39 @@
 
 from __future__ import annotations
 
-from nearprint.functions import html, scalar
-from nearprint.functions.tokens import ENCODER_TOKEN, WORD_TOKEN
-from nearprint.plans.queries import (
-    DENSE_THRESHOLD, NEWEST, PAIR_THRESHOLD, RECOMMENDATIONS,
-)
+# Patterns and limits of the SQL's own, written for the given tables: nothing is taken from the
+# code that is compared with it.
+PAIR_THRESHOLD = 0.5
+DENSE_THRESHOLD = 0.3
+RECOMMENDATIONS = 3
+NEWEST = 100
+ENCODER_TOKEN = r"[\p{L}\p{N}_][\p{L}\p{N}_]+"
+WORD_TOKEN = r"[\p{L}\p{N}_]+"
+EDGE_SPACE = r"^[\s\x{00A0}]+|[\s\x{00A0}]+$"
+LETTER_RUNS = r"\p{L}+|\P{L}+"
+URL_ROOT = r"^(https?://[^/]+)"
+COMMENT = r"(?s)<!--.*?-->"
+SCRIPT = r"(?is)<script[^>]*>.*?</script>"
+STYLE = r"(?is)<style[^>]*>.*?</style>"
+TAG = r"<[^>]*>"
+TITLE = r"(?s)<title>(.*?)</title>"
+HEADLINE = r"(?s)<h1[^>]*>(.*?)</h1>"
+ARTICLE = r"(?s)<article[^>]*>(.*?)</article>"
+PARAGRAPH = r"<p(?:\s[^>]*)?>"
+ANCHOR = r"(?s)<a\s[^>]*>.*?</a>"
+HREF = r"\shref=[\"']([^\"']*)[\"']"
+
+# The character references of the given pages, the ampersand last.
+REFERENCES = {
+    "&lt;": "<",
+    "&gt;": ">",
+    "&quot;": '"',
+    "&#39;": "'",
+    "&nbsp;": "\u00a0",
+    "&copy;": "©",
+    "&middot;": "·",
+    "&amp;": "&",
+}
 
 
 def _quote(text: str) -> str:
@@ -16,55 +44,55 @@ def _quote(text: str) -> str:
 # --- expressions
 
 def _decode(text: str) -> str:
-    for entity, character in html.ENTITIES.items():
+    for entity, character in REFERENCES.items():
         text = f"replace({text}, {_quote(entity)}, {_quote(character)})"
     return text
 
 
 def _strip(text: str) -> str:
-    return f"regexp_replace({text}, {_quote(scalar._EDGE_SPACE)}, '', 'g')"
+    return f"regexp_replace({text}, {_quote(EDGE_SPACE)}, '', 'g')"
 
 
 def _visible(markup: str) -> str:
-    for pattern in html.HIDDEN:
+    for pattern in (COMMENT, SCRIPT, STYLE):
         markup = f"regexp_replace({markup}, {_quote(pattern)}, '', 'g')"
     return markup
 
 
 def _without_tags(markup: str) -> str:
-    return _decode(f"regexp_replace({markup}, {_quote(html.TAG)}, '', 'g')")
+    return _decode(f"regexp_replace({markup}, {_quote(TAG)}, '', 'g')")
 
 
 def _title(markup: str = "html") -> str:
-    return _without_tags(f"regexp_extract({markup}, {_quote(html.TITLE)}, 1)")
+    return _without_tags(f"regexp_extract({markup}, {_quote(TITLE)}, 1)")
 
 
 def _title_case(text: str) -> str:
-    runs = f"regexp_extract_all({text}, {_quote(scalar._LETTER_RUNS)})"
+    runs = f"regexp_extract_all({text}, {_quote(LETTER_RUNS)})"
     # The capital of a leading sharp s is "Ss", which upper() does not give here.
     capital = "CASE WHEN r[1] = 'ß' THEN 'Ss' ELSE upper(r[1]) END"
     return _strip(f"array_to_string(list_transform({runs}, lambda r: {capital} || lower(r[2:])), '')")
 
 
 def _root(url: str) -> str:
-    return f"regexp_extract({url}, {_quote(scalar._URL_ROOT)}, 1)"
+    return f"regexp_extract({url}, {_quote(URL_ROOT)}, 1)"
 
 
 def _anchors(table: str, extra: str) -> str:
     """One row per link: its position, decoded target and text."""
     return f"""
         SELECT {extra}, pos,
-               {_decode(f"regexp_extract(a, {_quote(html.HREF)}, 1)")} AS href, {_without_tags("a")} AS txt
+               {_decode(f"regexp_extract(a, {_quote(HREF)}, 1)")} AS href, {_without_tags("a")} AS txt
         FROM (SELECT {extra}, unnest(found) AS a, generate_subscripts(found, 1) AS pos
-              FROM (SELECT {extra}, regexp_extract_all(html, {_quote(html.ANCHOR)}) AS found FROM {table}))"""
+              FROM (SELECT {extra}, regexp_extract_all(html, {_quote(ANCHOR)}) AS found FROM {table}))"""
 
 
 def _paragraphs() -> str:
     """``parts``: the paragraph texts of each page's article."""
-    first = f"string_split_regex(p, {_quote(html.PARAGRAPH_END)})[1]"
+    first = f"string_split_regex(p, {_quote("</p>")})[1]"
     return f"""
         SELECT page_id, url, visible, list_transform(
-            string_split_regex(regexp_extract(visible, {_quote(html.ARTICLE)}, 1), {_quote(html.PARAGRAPH_START)})[2:],
+            string_split_regex(regexp_extract(visible, {_quote(ARTICLE)}, 1), {_quote(PARAGRAPH)})[2:],
             lambda p: {_without_tags(first)}) AS parts
         FROM (SELECT page_id, url, {_visible("html")} AS visible FROM pages)"""
 
@@ -247,16 +275,16 @@ def sql() -> dict[str, str]:
             QUALIFY row_number() OVER (PARTITION BY link ORDER BY page_id) = 1""",
         "page_text": f"""
             SELECT page_id, array_to_string(list_filter(list_transform(
-                string_split_regex({_visible("html")}, {_quote(html.TAG)}),
+                string_split_regex({_visible("html")}, {_quote(TAG)}),
                 lambda node: {_strip(_decode("node"))}), lambda node: node <> ''), ' ') AS content FROM pages""",
         "article_paragraphs": f"""
             SELECT page_id, md5(url) AS id,
-                   {_without_tags(f"regexp_extract(visible, {_quote(html.HEADLINE)}, 1)")} AS title,
+                   {_without_tags(f"regexp_extract(visible, {_quote(HEADLINE)}, 1)")} AS title,
                    CAST(len(parts) AS INTEGER) AS n_paragraphs, array_to_string(parts, ' ') AS content
             FROM ({_paragraphs()})""",
         "parsed_articles": f"""
             SELECT md5(url) AS id, url,
-                   {_without_tags(f"regexp_extract(visible, {_quote(html.HEADLINE)}, 1)")} AS title,
+                   {_without_tags(f"regexp_extract(visible, {_quote(HEADLINE)}, 1)")} AS title,
                    array_to_string(parts, ' ') AS content
             FROM ({_paragraphs()})""",
         "parsed_authors": f"""

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
+import pytest
 from pyspark.sql import functions as F
 
 from nearprint.functions import html
@@ -98,3 +101,77 @@ def test_both_readers_agree_on_the_given_pages(spark):
     columns = given.select("url", html.headline("html").alias("title"), F.array_join(found, " ").alias("content"))
     assert {r.url: (r.title, r.content) for r in columns.collect()} == parsed
     assert len(parsed) == given.count()
+
+
+class Reader(HTMLParser):
+    """Links and text as the standard parser sees them."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.hrefs, self.texts, self.hidden = [], [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style")
+        if tag == "a" and dict(attrs).get("href"):
+            self.hrefs.append(dict(attrs)["href"])
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.texts.append(data)
+
+
+HOSTILE = [
+    '<a href="/it\'s-here">x</a>',
+    "<a href='/say-\"hi\"'>x</a>",
+    '<a data-href="/bad" href="/good">x</a>',
+    '<a title="x href=/bad" class=c href="/good">x</a>',
+    "<a href=/plain>x</a><a class=big href=/plain?a=1&amp;b=2 >y</a>",
+    '<!-- <a href="/hidden">x</a> --><a href="/seen">x</a>',
+    '<!-- <script> --><a href="/seen">x</a><script>let a = "<a href=/no>n</a>"</script>',
+    '<a\n  HREF = "/spread"\n>x</a><a name="none">y</a><a href="">z</a>',
+    '<a title="a > b" href="/after">text</a>',
+    "<p>caf&eacute; &pound;5 don&#8217;t &#x201C;quote&#x201D; &notin; &copy 2020 &nosuch; a &amp;lt; b &#128;</p>",
+    '<p title="a > b">text</p> 1 < 2 <b>bold</b>',
+    "<style>p > a { color: red }</style><p>after</p>",
+    "",
+]
+
+
+@pytest.mark.parametrize("markup", HOSTILE)
+def test_column_rules_against_the_parser(spark, markup):
+    reader = Reader()
+    reader.feed(markup)
+    reader.close()
+    given = pages(spark, ("https://s.example/a", markup))
+    links, text = given.select(html.anchors("html"), html.visible_text("html")).first()
+    assert [link.href for link in links] == reader.hrefs
+    assert text.split() == " ".join(reader.texts).split()
+
+
+def test_null_markup(spark, rows):
+    given = pages(spark, ("u", None))
+    assert rows(given.select(html.visible_text("html"), html.title("html"), html.anchors("html"))) == [(None, None, None)]
+    assert rows(sites.read_authors(given, sites.DAILY_MAIL)) == []
+
+
+def test_article_ends_where_it_ends(spark):
+    markup = "<article><p>one</p></article><aside><p>aside</p></article></aside><article><p>two</p></article>"
+    assert pages(spark, ("u", markup)).select(html.paragraphs(html.article_markup("html"))).first()[0] == ["one"]
+
+
+def test_many_attributes_and_no_end(spark):
+    long_tag = "<p " + "a=1 " * 50_000 + ">text</p>"
+    open_tag = "text<p " + "a='1' " * 50_000
+    found = [r[0] for r in pages(spark, ("u", long_tag), ("v", open_tag)).select(html.visible_text("html")).collect()]
+    assert found[0] == "text" and found[1].startswith("text")
+
+
+def test_unreadable_pages_are_rows(spark, rows):
+    given = pages(spark, ("http://a", ARTICLE_A), ("http://n", None), ("http://t", "<p>nothing</p>"), ("http://b", "<title>t</title>"))
+    read = sites.read_pages(given, sites.DAILY_MAIL)
+    assert rows(read.select("url", "problem")) == [
+        ("http://a", None), ("http://b", "no body"), ("http://n", "no markup"), ("http://t", "no title"),
+    ]

@@ -129,3 +129,21 @@ def test_no_texts(spark):
     texts, _ = classes_of(spark, "aa")
     encoded, vocabulary = tfidf.encode_texts(texts.where("false"))
     assert encoded.count() == 0 and vocabulary.count() == 0
+
+
+def test_both_modes_agree_on_nulls_and_shared_ids(spark):
+    given = [(1, "Alpha gamma"), (1, "beta delta"), (1, "beta delta"), (2, None), (3, ""), (4, "of"), (None, "omega")]
+    articles = spark.createDataFrame(given, "id int, content string")
+    stops = {"en": ("of",)}
+    nothing = spark.createDataFrame([], "word string, lemma string")
+    plain = text.normalise(articles, stops).collect()
+    looked_up = text.normalise(articles, stops, nothing).collect()
+    order = lambda rows: sorted(map(tuple, rows), key=str)
+    assert order(plain) == order(looked_up)
+    assert order(plain) == order([(1, "alpha gamma"), (1, "beta delta"), (1, "beta delta"), (2, None), (3, ""), (4, ""), (None, "omega")])
+
+
+def test_key_of_several_columns(spark, rows):
+    articles = spark.createDataFrame([("a", 1, "one"), ("b", 1, "two")], "publication string, id int, content string")
+    done = spark.createDataFrame([("a", 1)], "publication string, id int")
+    assert rows(text.normalise_new(articles, done, key=["publication", "id"], stops={"en": ("of",)})) == [("b", 1, "two")]
