@@ -87,14 +87,14 @@ def _anchors(table: str, extra: str) -> str:
               FROM (SELECT {extra}, regexp_extract_all(html, {_quote(ANCHOR)}) AS found FROM {table}))"""
 
 
-def _paragraphs() -> str:
+def _paragraphs(table: str = "pages") -> str:
     """``parts``: the paragraph texts of each page's article."""
     first = f"string_split_regex(p, {_quote("</p>")})[1]"
     return f"""
         SELECT page_id, url, visible, list_transform(
             string_split_regex(regexp_extract(visible, {_quote(ARTICLE)}, 1), {_quote(PARAGRAPH)})[2:],
             lambda p: {_without_tags(first)}) AS parts
-        FROM (SELECT page_id, url, {_visible("html")} AS visible FROM pages)"""
+        FROM (SELECT page_id, url, {_visible("html")} AS visible FROM {table})"""
 
 
 # --- TF-IDF in plain SQL
@@ -170,9 +170,37 @@ LEMMAS = f"""
     SELECT word, left(word, length(word) - 1) AS lemma FROM w
     WHERE word LIKE '%s' AND left(word, length(word) - 1) IN (SELECT word FROM w)"""
 
+def _english(text: str) -> str:
+    """``norm(publication, id, processed_content)`` with the English stop words, whatever the language."""
+    stops = ", ".join(_quote(word) for word in STOPS["en"].split())
+    return f"""norm AS (
+        SELECT source AS publication, CAST(doc_id AS VARCHAR) AS id, array_to_string(list_transform(list_filter(
+            regexp_extract_all({text}, {_quote(WORD_TOKEN)}), lambda w: lower(w) NOT IN ({stops})), lambda w: lower(w)), ' ')
+            AS processed_content FROM documents)"""
+
+
+NORMAL = "SELECT id, processed_content AS text FROM norm"
+JOB_PAIRS = f"""pairs AS (
+        SELECT a.id, b.id AS similar_id, round(sum(a.w * b.w), 6) AS score
+        FROM vec a JOIN vec b ON a.word = b.word AND a.id <> b.id
+        GROUP BY a.id, b.id HAVING sum(a.w * b.w) > 0.8)"""
+
 API_FORMAT = "'%Y-%m-%dT%H:%M:%SZ'"
 
 
+VERTICES = """
+    WITH v AS (SELECT doc_id, md5(text) AS id, source AS publication, lang AS title,
+                      CAST(n_chars AS VARCHAR) AS url FROM documents),
+    stored AS (SELECT id, publication, title, url FROM v WHERE doc_id IN (SELECT doc_id FROM labels)
+               QUALIFY row_number() OVER (PARTITION BY id ORDER BY publication, title, url) = 1),
+    offered AS (SELECT DISTINCT id, publication, title, url FROM v),
+    fresh AS (SELECT * FROM offered WHERE id NOT IN (SELECT id FROM stored)
+              QUALIFY row_number() OVER (PARTITION BY id ORDER BY publication, title, url) = 1),
+    merged AS (SELECT * FROM stored UNION ALL SELECT * FROM fresh)
+    SELECT id, publication, title, url, false AS conflict FROM merged
+    UNION ALL SELECT id, publication, title, url, true FROM (SELECT * FROM offered EXCEPT SELECT * FROM merged)"""
+
+
 def sql() -> dict[str, str]:
     return {
         "scan_project_rename": """
@@ -233,17 +261,7 @@ def sql() -> dict[str, str]:
         "drop_incomplete": """
             SELECT doc_id, source, lang, quality, toxic FROM documents JOIN labels USING (doc_id)
             WHERE source IS NOT NULL AND lang IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL""",
-        "vertex_merge": """
-            WITH v AS (SELECT doc_id, md5(text) AS id, source AS publication, lang AS title,
-                              CAST(n_chars AS VARCHAR) AS url FROM documents),
-            stored AS (SELECT id, publication, title, url FROM v WHERE doc_id IN (SELECT doc_id FROM labels)
-                       QUALIFY row_number() OVER (PARTITION BY id ORDER BY publication, title, url) = 1),
-            offered AS (SELECT DISTINCT id, publication, title, url FROM v),
-            fresh AS (SELECT * FROM offered WHERE id NOT IN (SELECT id FROM stored)
-                      QUALIFY row_number() OVER (PARTITION BY id ORDER BY publication, title, url) = 1),
-            merged AS (SELECT * FROM stored UNION ALL SELECT * FROM fresh)
-            SELECT id, publication, title, url, false AS conflict FROM merged
-            UNION ALL SELECT id, publication, title, url, true FROM (SELECT * FROM offered EXCEPT SELECT * FROM merged)""",
+        "vertex_merge": VERTICES,
         "md5_ids": "SELECT page_id, md5(url) AS id, url FROM pages",
         "timestamp_roundtrip": f"""
             SELECT event_id, strftime(ts, {API_FORMAT}) AS published, date_trunc('second', ts) AS ts FROM events""",
@@ -353,6 +371,58 @@ def sql() -> dict[str, str]:
                 FROM pairs p JOIN documents a ON a.doc_id = p.id JOIN documents b ON b.doc_id = p.similar_id
                 WHERE a.source <> b.source)
             SELECT * FROM ranked WHERE rank <= {RECOMMENDATIONS}""",
+        "api_article_bodies": f"""
+            SELECT 'https://api.example/' || doc_id AS api_url, {_strip("text")} AS content, true AS readable FROM documents
+            UNION ALL SELECT 'https://api.example/cut/' || doc_id, NULL, false FROM labels""",
+        "job_api_content": f"""
+            SELECT md5('doc/' || doc_id) AS id, 'doc/' || doc_id AS guardian_id,
+                   TIMESTAMP '2020-01-01 00:00:00' + to_minutes(CAST(doc_id AS INTEGER)) AS web_publication_timestamp,
+                   'https://api.example/' || doc_id AS api_url, {_strip("text")} AS content,
+                   'Document ' || doc_id AS web_title
+            FROM documents ORDER BY documents.doc_id DESC LIMIT {2 * NEWEST}""",
+        "job_page_articles": f"""
+            WITH landed AS (
+                SELECT page_id, 'https://news.example' || regexp_extract(html, 'href="([^"]*)"', 1) AS url, html FROM pages
+                QUALIFY row_number() OVER (PARTITION BY regexp_extract(html, 'href="([^"]*)"', 1) ORDER BY page_id) = 1),
+            link AS ({_anchors("landed", "page_id, url")}),
+            author AS (
+                SELECT columnist, homepage FROM (
+                    SELECT url, pos, {_title_case("txt")} AS columnist, 'https://news.example' || href AS homepage
+                    FROM link WHERE href <> '')
+                QUALIFY row_number() OVER (PARTITION BY columnist ORDER BY url DESC, pos DESC) = 1),
+            claimed AS (
+                SELECT columnist, 'https://news.example' || href AS target FROM link JOIN author ON url = homepage
+                WHERE href <> '' AND NOT contains(href, 'pageOffset')
+                QUALIFY row_number() OVER (PARTITION BY target ORDER BY columnist) = 1)
+            SELECT 'Pages' AS publication, columnist, md5(url) AS id, url,
+                   {_without_tags(f"regexp_extract(visible, {_quote(HEADLINE)}, 1)")} AS title,
+                   array_to_string(parts, ' ') AS content
+            FROM ({_paragraphs("landed")}) JOIN claimed ON url = target""",
+        "job_normalise": f"WITH {_english('text')} SELECT * FROM norm",
+        "job_encode": f"""
+            WITH {_english("text")}, {_vectors(NORMAL)}
+            SELECT norm.id, i AS feature_matrix_index, round(w, 6) AS weight FROM norm LEFT JOIN vec ON vec.id = norm.id""",
+        "job_similar_articles": f"""
+            WITH {_english("text")}, {_vectors(NORMAL)}, {JOB_PAIRS}
+            SELECT id, similar_id AS similar_article_id, score AS similarity_score FROM pairs""",
+        "job_recommendations": f"""
+            WITH {_english("text")}, {_vectors(NORMAL)}, {JOB_PAIRS},
+            meta AS (SELECT source AS publication, CAST(doc_id AS VARCHAR) AS id, lang AS title,
+                            'https://docs.example/' || doc_id AS url FROM documents)
+            SELECT a.publication AS starting_publication, a.id AS starting_article_id, a.title AS starting_title, a.url AS starting_url,
+                   b.publication AS similar_publication, b.id AS similar_article_id, b.title AS similar_title, b.url AS similar_url,
+                   p.score AS similarity_score,
+                   CAST(row_number() OVER (PARTITION BY p.id ORDER BY p.score DESC, p.similar_id) AS INTEGER) AS rank
+            FROM pairs p JOIN meta a ON a.id = p.id JOIN meta b ON b.id = p.similar_id
+            WHERE a.publication <> b.publication QUALIFY rank <= {RECOMMENDATIONS}""",
+        "expand_contractions": f"""
+            WITH {_english("'do not ' || text || ' we will'")}
+            SELECT CAST(id AS BIGINT) AS id, processed_content FROM norm""",
+        "strip_key_padding": "SELECT c_custkey, c_name AS name FROM customer",
+        "text_beginnings": """
+            SELECT doc_id, left(text, 20) AS first_chars,
+                   array_to_string(string_split_regex(text, '\\s+')[1:5], ' ') AS first_words FROM documents""",
+        "vertices_from_csv": VERTICES,
         "csv_append_roundtrip": """
             SELECT c_name || ', "' || c_mktsegment || '"' AS name, c_nationkey AS nation FROM customer
             UNION ALL SELECT s_name, s_nationkey FROM supplier""",
