@@ -214,7 +214,8 @@ def sql() -> dict[str, str]:
         "high_water_mark": f"SELECT strftime(max(ts), {API_FORMAT}) AS high_water_mark FROM events",
         "exists_value": "SELECT EXISTS (SELECT 1 FROM part WHERE p_type = 'ECONOMY') AS value_exists",
         "exists_in_table": """
-            SELECT p_partkey, p_name FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)""",
+            SELECT p_partkey, p_name FROM part WHERE EXISTS (
+                SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity >= 45)""",
         "json_fields": """
             SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""",
         "json_page_explode": f"""
@@ -401,7 +402,7 @@ def sql() -> dict[str, str]:
         "job_normalise": f"WITH {_english('text')} SELECT * FROM norm",
         "job_encode": f"""
             WITH {_english("text")}, {_vectors(NORMAL)}
-            SELECT norm.id, i AS feature_matrix_index, round(w, 6) AS weight FROM norm LEFT JOIN vec ON vec.id = norm.id""",
+            SELECT norm.id, CAST(i AS VARCHAR) AS feature_matrix_index, round(w, 6) AS weight FROM norm LEFT JOIN vec ON vec.id = norm.id""",
         "job_similar_articles": f"""
             WITH {_english("text")}, {_vectors(NORMAL)}, {JOB_PAIRS}
             SELECT id, similar_id AS similar_article_id, score AS similarity_score FROM pairs""",

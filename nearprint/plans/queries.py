@@ -99,8 +99,10 @@ def exists_value(spark, sf_dir):
 
 @query
 def exists_in_table(spark, sf_dir):
+    """Parts of which a large quantity was returned at once."""
     part = load(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return keyed.contained(part, load(spark, sf_dir, "lineitem"), "p_partkey", "l_partkey")
+    returned = load(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity >= 45")
+    return keyed.contained(part, returned, "p_partkey", "l_partkey")
 
 
 # --- JSON
