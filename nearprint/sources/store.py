@@ -156,7 +156,8 @@ class TableStore:
                 self.spark.sql(f"ALTER TABLE {old} RENAME TO {name}")
 
     def _swap(self, df: DataFrame, table: str, schema: str) -> None:
-        # Written aside first: readers never see the table empty, and df may read it.
+        # Written aside first, as df may read the table.  Readers see the old or the new rows,
+        # and no table in the moment between the two renames.
         name = qualified(table, schema)
         aside, old = qualified(f"{table}__next", schema), qualified(f"{table}__old", schema)
         self.recover(table, schema)
