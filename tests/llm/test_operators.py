@@ -175,6 +175,25 @@ def test_perplexity_rejects_noise(spark):
     assert sum(got[i] for i in range(300)) >= 295
 
 
+@pytest.mark.parametrize(("percent", "plain"), [(1, 400), (5, 400), (20, 400), (10, 30)])
+def test_planted_noise_does_not_move_the_band(spark, percent, plain):
+    rng = random.Random(12)
+    good = [(i, " ".join(words(rng, rng.randint(150, 300))), "en", "a", 1) for i in range(plain)]
+    signs = [chr(c) for c in range(33, 127)] + [" "] * 15
+    noise = [(10_000 + i, "".join(rng.choices(signs, k=rng.randint(1500, 4000))), "en", "a", 1) for i in range(max(1, plain * percent // (100 - percent)))]
+    got = {r["doc_id"]: r["kept"] for r in rules.apply(spark.createDataFrame([*good, *noise], documents(spark).schema)).collect()}
+    assert not any(got[r[0]] for r in noise)
+    assert sum(got[r[0]] for r in good) >= 0.98 * plain
+
+
+def test_copies_do_not_close_the_band(spark):
+    rng = random.Random(13)
+    copy = " ".join(words(rng, 150))
+    rows = [(i, copy if i < 240 else " ".join(words(rng, 150)), "en", "a", 1) for i in range(400)]
+    got = rules.apply(spark.createDataFrame(rows, documents(spark).schema)).where("kept").count()
+    assert got >= 392
+
+
 def encodings(name: str) -> list[list[int]]:
     from tokenizers import Tokenizer
 
