@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from nearprint.llm import lines, mixing, neardup, packing, quality
 from nearprint.llm.tables import materialise
 
+#: Near copies share 0.8 of their five-word shingles.  Of two such sets, fewer than half of the
+#: 64 sketch values are common with a chance of 2e-8.
+NEAR_PERCENT = 80
+NEAR_FLOOR = 0.5
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling towards the good labels draws."""
@@ -33,7 +38,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the smallest id."""
-    return neardup.keep_one(docs)
+    return neardup.keep_one(docs, percent=NEAR_PERCENT, floor=NEAR_FLOOR)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,13 +1,14 @@
 """Near-duplicate groups by bottom-k sketches.
 
 A document's set is its distinct five-word shingles; two documents are linked if their sets
-have a Jaccard similarity of 0.85 or more, and a group is a connected component of links.
+have a Jaccard similarity of ``percent`` (85) or more, and a group is a connected component of links.
 
 1.  Documents with equal sets form a class, and one of them speaks for it.
 2.  One hash function; the sketch of a set is its ``K`` smallest hashes.  In the union's
     sketch of two linked sets 0.85 of the values are common, give or take: fewer than
-    ``FLOOR`` in common has a chance of 3e-5 at exactly 0.85, and far less above.  So they also share one of the rarest
-    ``K - FLOOR * K + 1`` values of either, and only these go into inverted lists.
+    ``floor`` in common has a chance of 3e-5 at exactly 0.85, and far less above; who asks for
+    links further apart lowers it.  So they also share one of the rarest
+    ``K - floor * K + 1`` values of either, and only these go into inverted lists.
 3.  Lists generate pairs.  Short ones give all theirs.  In a long one the smallest member, the
     hub, meets all others.
 4.  The union-sketch estimate filters pairs, and the exact Jaccard similarity of the full sets
@@ -124,7 +125,7 @@ def _shared(dealt: pa.Table) -> pa.Table:
     return pa.table({"value": value[some], "rep": rep[some], "df": df[some]})
 
 
-def inverted_lists(classes: DataFrame) -> DataFrame:
+def inverted_lists(classes: DataFrame, floor: float = FLOOR) -> DataFrame:
     """``(value, rep, n, df)``: each class under those of its rarest values that others retain too."""
     n = buckets(classes.sparkSession)
     dealt = classes.select("doc", "sketch").mapInArrow(_dealt(n), "bucket int, value binary, rep binary")
@@ -132,50 +133,58 @@ def inverted_lists(classes: DataFrame) -> DataFrame:
     per_rep = shared.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))  # at most K
     sized = per_rep.join(classes.select(F.col("doc").alias("rep"), "n"), "rep")
     kept = F.least(F.col("n"), F.lit(K))
-    prefix = kept - F.ceil(kept * FLOOR) + 1
+    prefix = kept - F.ceil(kept * floor) + 1
     # Values nobody else retains are the rarest, and come first in the prefix.
     room = (prefix - (kept - F.size("held"))).cast("int")
     placed = sized.where(room > 0).select("rep", "n", F.explode(F.slice("held", F.lit(1), room)).alias("entry"))
     return placed.select(F.col("entry.value").alias("value"), "rep", "n", F.col("entry.df").alias("df"))
 
 
-def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _estimate(floor: float):
     """Pairs whose union sketch has enough common values."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sides = []
-        for name in ("sketch_a", "sketch_b"):
-            value, places = codes.flat(batch.column(name))
-            sides.append((np.frombuffer(value.tobytes(), np.uint64), np.repeat(np.arange(batch.num_rows), np.diff(places) // 8)))
-        value, pair = (np.concatenate(x) for x in zip(*sides, strict=True))
-        order = np.lexsort((value, pair))
-        value, pair = value[order], pair[order]
-        common = np.zeros(len(value), bool)
-        common[:-1] = (value[1:] == value[:-1]) & (pair[1:] == pair[:-1])
-        first = ~np.concatenate([[False], common[:-1]])
-        common, pair = common[first], pair[first]
-        rank = np.arange(len(pair)) - np.searchsorted(pair, pair)
-        inside = rank < K
-        size = np.bincount(pair[inside], minlength=batch.num_rows)
-        both = np.bincount(pair[inside & common], minlength=batch.num_rows)
-        near = both >= FLOOR * size
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(near)), batch.column("b").filter(pa.array(near))], ["a", "b"])
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sides = []
+            for name in ("sketch_a", "sketch_b"):
+                value, places = codes.flat(batch.column(name))
+                sides.append((np.frombuffer(value.tobytes(), np.uint64), np.repeat(np.arange(batch.num_rows), np.diff(places) // 8)))
+            value, pair = (np.concatenate(x) for x in zip(*sides, strict=True))
+            order = np.lexsort((value, pair))
+            value, pair = value[order], pair[order]
+            common = np.zeros(len(value), bool)
+            common[:-1] = (value[1:] == value[:-1]) & (pair[1:] == pair[:-1])
+            first = ~np.concatenate([[False], common[:-1]])
+            common, pair = common[first], pair[first]
+            rank = np.arange(len(pair)) - np.searchsorted(pair, pair)
+            inside = rank < K
+            size = np.bincount(pair[inside], minlength=batch.num_rows)
+            both = np.bincount(pair[inside & common], minlength=batch.num_rows)
+            near = both >= floor * size
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(near)), batch.column("b").filter(pa.array(near))], ["a", "b"])
+
+    return run
+
+
+def _verify(percent: int):
     """Pairs that are linked, by their full sets."""
-    for block in codes.blocks(batches, "text_a"):
-        a, pair_a = shingles(*codes.flat(block.column("text_a")))
-        b, pair_b = shingles(*codes.flat(block.column("text_b")))
-        value, pair = np.concatenate([a, b]), np.concatenate([pair_a, pair_b])
-        order = np.lexsort((value, pair))
-        value, pair = value[order], pair[order]
-        same = (value[1:] == value[:-1]) & (pair[1:] == pair[:-1])
-        both = np.bincount(pair[1:][same], minlength=block.num_rows)
-        union = np.bincount(pair, minlength=block.num_rows) - both
-        linked = pa.array((100 * both >= PERCENT * union) & (union > 0))
-        yield pa.RecordBatch.from_arrays([block.column("a").filter(linked), block.column("b").filter(linked)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in codes.blocks(batches, "text_a"):
+            a, pair_a = shingles(*codes.flat(block.column("text_a")))
+            b, pair_b = shingles(*codes.flat(block.column("text_b")))
+            value, pair = np.concatenate([a, b]), np.concatenate([pair_a, pair_b])
+            order = np.lexsort((value, pair))
+            value, pair = value[order], pair[order]
+            same = (value[1:] == value[:-1]) & (pair[1:] == pair[:-1])
+            both = np.bincount(pair[1:][same], minlength=block.num_rows)
+            union = np.bincount(pair, minlength=block.num_rows) - both
+            linked = pa.array((100 * both >= percent * union) & (union > 0))
+            yield pa.RecordBatch.from_arrays([block.column("a").filter(linked), block.column("b").filter(linked)], ["a", "b"])
+
+    return run
 
 
 def components(nodes_of: DataFrame) -> DataFrame:
@@ -203,24 +212,26 @@ def _pairs_of_short_lists(lists: DataFrame) -> DataFrame:
     return y.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
 
 
-def links(classes: DataFrame, docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def links(
+    classes: DataFrame, docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT, floor: float = FLOOR
+) -> DataFrame:
     """Verified links between class representatives, enough of them to connect every component."""
-    lists = materialise(inverted_lists(classes), "lists")
+    lists = materialise(inverted_lists(classes, floor), "lists")
     active = lists.select(F.col("rep").alias("doc")).distinct()
     texts = docs.select(doc_key(id_column).alias("doc"), F.col(text).alias("text")).join(active, "doc")
     texts = materialise(texts, "texts")  # of documents that share a value with another
     held = materialise(classes.join(active, "doc").select("doc", "sketch"), "sketches")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        # 100 * intersection >= 85 * union cannot hold for sets of sizes further apart.
-        sized = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT) & (F.col("a") != F.col("b"))
+        # 100 * intersection >= percent * union cannot hold for sets of sizes further apart.
+        sized = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.col("a") != F.col("b"))
         pairs = pairs.where(sized).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         for side in ("a", "b"):
             pairs = pairs.join(held.select(F.col("doc").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
-        pairs = materialise(pairs.mapInArrow(_estimate, "a bigint, b bigint"), "candidates")
+        pairs = materialise(pairs.mapInArrow(_estimate(floor), "a bigint, b bigint"), "candidates")
         for side in ("a", "b"):
             pairs = pairs.join(texts.select(F.col("doc").alias(side), F.col("text").alias(f"text_{side}")), side)
-        return materialise(pairs.mapInArrow(_verify, "a bigint, b bigint"), "verified")
+        return materialise(pairs.mapInArrow(_verify(percent), "a bigint, b bigint"), "verified")
 
     found = verified(_pairs_of_short_lists(lists))
     # The hub of each long list, its smallest member, meets all others.
@@ -232,10 +243,10 @@ def links(classes: DataFrame, docs: DataFrame, id_column: str = "doc_id", text:
     named = long_lists.join(labels, F.col("rep") == F.col("node"), "left").select("value", "rep", F.coalesce("label", "rep").alias("label"))
     mixed = named.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("rep").alias("hub")).where("low < high")
     apart = materialise(named.join(mixed.select("value", "hub"), "value").select("rep", "hub"), "apart")
-    return found.union(family_links(apart, texts))
+    return found.union(family_links(apart, texts, percent))
 
 
-def family_links(apart: DataFrame, texts: DataFrame) -> DataFrame:
+def family_links(apart: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links within each family, at most one for each member of a block pair.
 
     A family is what long lists ``(rep, hub)`` with links missing hold together.  It is cut
@@ -250,10 +261,11 @@ def family_links(apart: DataFrame, texts: DataFrame) -> DataFrame:
     dealt = paired.select(
         F.col("label").alias("family"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("node").alias("doc")
     )
-    return dealt.join(texts, "doc").groupBy("family", "i", "j").applyInArrow(_compare, "a bigint, b bigint")
+    compare = lambda members: _compare(members, percent)
+    return dealt.join(texts, "doc").groupBy("family", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
-def _compare(members: pa.Table) -> pa.Table:
+def _compare(members: pa.Table, percent: int) -> pa.Table:
     """``(a, b)``: members that links join, each with the smallest that it reaches here."""
     doc, own = members.column("doc").to_numpy(), members.column("own").to_numpy()
     value, text = shingles(*codes.flat(members.column("text")))
@@ -270,7 +282,7 @@ def _compare(members: pa.Table) -> pa.Table:
         has[text[a:b], column[a:b] - first] = 1
         both += has @ has.T
     union = size[:, None] + size[None, :] - both
-    linked = (100 * both >= PERCENT * union) & (size[:, None] > 0)
+    linked = (100 * both >= percent * union) & (size[:, None] > 0)
     i, j = members.column("i")[0].as_py(), members.column("j")[0].as_py()
     if i != j:  # pairs within a block are compared where it meets itself
         linked &= own[:, None] != own[None, :]
@@ -286,7 +298,9 @@ def _compare(members: pa.Table) -> pa.Table:
     return pa.table({"a": back[label[moved]], "b": doc[moved]})
 
 
-def groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def groups(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT, floor: float = FLOOR
+) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` of every document.
 
     A text without words, or null, has the empty set and is linked with nothing.  Equal sets
@@ -299,7 +313,7 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
     one = classes.select("s1", "s2", F.col("rep").alias("doc"))
     spoken = sets.join(one, ["doc", "s1", "s2"]).dropDuplicates(["doc", "s1", "s2"]).select("doc", "n", "sketch")
     spoken = materialise(spoken, "representatives")
-    labels = components(links(spoken, docs, id_column, text))
+    labels = components(links(spoken, docs, id_column, text, percent, floor))
     named = classes.join(labels, F.col("rep") == F.col("node"), "left")
     named = named.select("s1", "s2", "n", F.coalesce("label", "rep").alias("component"))
     joined = sets.select("doc", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
@@ -311,7 +325,9 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
     )
 
 
-def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT, floor: float = FLOOR
+) -> DataFrame:
     """The rows of one document of each group, that of the smallest id, with all their columns."""
-    kept = groups(docs, id_column, text).where("kept").select(F.coalesce("doc_id", F.lit(LAST)).alias("__kept")).distinct()
+    kept = groups(docs, id_column, text, percent, floor).where("kept").select(F.coalesce("doc_id", F.lit(LAST)).alias("__kept")).distinct()
     return docs.join(kept, doc_key(id_column) == F.col("__kept"), "left_semi")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections import Counter
 
 import corpus_pipeline
+import pytest
+from nearprint.llm import neardup
 from nearprint.llm.tables import materialise
 from tests.llm.data import WORD, documents
 
@@ -51,3 +53,17 @@ def test_emptied_documents_go(spark):
     left = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, documents(spark).schema), SF_DIR).collect()
     assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in left) == [(1, text, len(text)), (3, None, None), (4, "x", 1)]
     assert WORD.search(left[0]["text"] or "x")
+
+
+@pytest.mark.parametrize("short", [16, 1])
+def test_near_copies_from_four_fifths_on_go(spark, monkeypatch, short):
+    monkeypatch.setattr(neardup, "SHORT_LIST", short)
+    rows = []
+    for k in range(20):  # 500 shingles; with the last w words changed, 500 - w of 500 + w are common
+        body = [f"w{k}x{i}" for i in range(504)]
+        for copy, w in enumerate((0, 50, 55, 60)):  # Jaccard similarities of 0.82, 0.80 and 0.79 to the first
+            rows.append((1000 * k + copy, " ".join(body[: 504 - w] + [f"c{copy}x{i}" for i in range(w)]), "en", "a", 1))
+    docs = spark.createDataFrame(rows, documents(spark).schema)
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF_DIR).collect())
+    assert kept == sorted(1000 * k + copy for k in range(20) for copy in (0, 3))
+    assert neardup.groups(docs).where("kept").count() == len(rows)
