@@ -6,7 +6,7 @@ have a Jaccard similarity of ``percent`` (85) or more, and a group is a connecte
 1.  Documents with equal sets form a class, and one of them speaks for it.
 2.  One hash function; the sketch of a set is its ``K`` smallest hashes.  In the union's
     sketch of two linked sets 0.85 of the values are common, give or take: fewer than
-    ``floor`` in common has a chance of 3e-5 at exactly 0.85, and far less above; who asks for
+    ``floor`` in common has a chance of 8e-9 at exactly 0.85, and far less above; who asks for
     links further apart lowers it.  So they also share one of the rarest
     ``K - floor * K + 1`` values of either, and only these go into inverted lists.
 3.  Lists generate pairs.  Short ones give all theirs.  In a long one the smallest member, the
@@ -35,7 +35,7 @@ from nearprint.llm.tables import LAST, buckets, doc_key, materialise
 SHINGLE = 5
 PERCENT = 85
 K = 64
-FLOOR = 0.65
+FLOOR = 0.55
 #: Lists up to this length give all their pairs at once.
 SHORT_LIST = 16
 #: Members in a block of a family, on average.

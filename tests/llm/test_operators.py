@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from nearprint.llm import fingerprints, idstore, lines, mixing, neardup, packing, rules, substrings, suffixes
 from nearprint.llm.tokens import tokenizer_path
 from tests.llm.data import WORD, documents, order, rows, words
@@ -114,6 +115,12 @@ def test_near_duplicates(spark, monkeypatch, short):
     assert kept == {e[0] for e in expected if e[3]}
 
 
+@pytest.mark.parametrize(("percent", "floor", "most"), [(neardup.PERCENT, neardup.FLOOR, 1e-8), (corpus_pipeline.NEAR_PERCENT, corpus_pipeline.NEAR_FLOOR, 3e-8)])
+def test_sketches_lose_no_link(percent, floor, most):
+    p, least = percent / 100, math.ceil(floor * neardup.K)
+    assert sum(math.comb(neardup.K, k) * p**k * (1 - p) ** (neardup.K - k) for k in range(least)) < most
+
+
 def test_line_dedup(spark):
     by_id = defaultdict(list)
     for r in ROWS:
