@@ -1,0 +1,100 @@
+"""Importance resampling against plain Python."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+from collections import Counter
+from zlib import crc32
+
+import pytest
+
+from nearprint.llm import resample
+from tests.llm.data import documents, rows
+
+ROWS = rows()
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+TARGET = [("anli tor Mone qu",), (None,), ("",), ("quanli ne né li",), ("tok tok tok one two",)]
+
+
+def lowered(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def features(text, runs):
+    words = WORD.findall(lowered(text))
+    return len(words), [" ".join(words[k : k + n]) for n in range(1, runs + 1) for k in range(len(words) - n + 1)]
+
+
+def brute(given, target, runs=1, buckets=10_000, percent=10, least=20):
+    held = [(doc_id, *features(text, runs)) for doc_id, text in given]
+    bucket = lambda f: crc32(f.encode()) % buckets
+    s = Counter(bucket(f) for _, _, found in held for f in found)
+    t = Counter(bucket(f) for text in target for f in features(text, runs)[1])
+    s_all, t_all = sum(s.values()), sum(t.values())
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (s_all + buckets) / ((s[b] + 1) * (t_all + buckets)))) for b in range(buckets)]
+    out = []
+    for doc_id, n_words, found in held:
+        weight = sum(gain[bucket(f)] for f in found) // len(found) if found else 0
+        h = int(hashlib.sha256(f"2024:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:8], 16)
+        out.append((doc_id, n_words, len(found), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))))
+    drawn = sorted((r for r in out if r[1] >= least), key=lambda r: (-r[4], r[0] is None, r[0] or 0, r[2], r[3]))
+    wanted = percent * len(drawn) // 100
+    ranks = [(r, k + 1 if k < wanted else None) for k, r in enumerate(drawn)] + [(r, None) for r in out if r[1] < least]
+    return Counter((r[0], *r[2:], rank) for r, rank in ranks)
+
+
+def found(df):
+    return Counter((r.doc_id, r.n_features, r.weight, r.score, r["rank"]) for r in df.collect())
+
+
+@pytest.fixture(scope="module")
+def target(spark):
+    return spark.createDataFrame(TARGET, "text string")
+
+
+@pytest.mark.parametrize(("runs", "percent"), [(1, 10), (2, 50), (2, 100), (1, 0)])
+def test_ranks(spark, target, runs, percent):
+    given = [r[:2] for r in ROWS]
+    out = resample.importance(documents(spark, extra=True), target, runs=runs, percent=percent)
+    assert found(out) == brute(given, [t for (t,) in TARGET], runs, percent=percent)
+
+
+def test_small_pieces_and_an_empty_head(spark, target, monkeypatch):
+    monkeypatch.setattr(resample, "PIECE_BYTES", 7)
+    expected = brute([r[:2] for r in ROWS], [t for (t,) in TARGET], 2)
+    assert found(resample.importance(documents(spark), target, runs=2)) == expected
+    monkeypatch.setattr(resample, "FREQUENT", 1)
+    head = resample.fit_head(documents(spark), runs=2)
+    assert not head.pairs
+    assert found(resample.importance(documents(spark), target, runs=2)) == expected
+
+
+def test_head_is_exact_and_bounded(spark):
+    head = resample.fit_head(documents(spark), runs=2, size=50)
+    assert 0 < len(head.words) <= 50 and 0 < len(head.pairs) <= 50
+    assert all(state == crc32(word) for word, state in head.words.items())
+    assert all(bucket == crc32(b" ".join(pair)) % head.buckets for pair, bucket in head.pairs.items())
+
+
+def test_repeated_rows_take_ranks_in_turn(spark, target):
+    given = [(None, "tok " * 30)] * 40 + [(7, "tok " * 30)] * 20 + [(k, "li " * 25) for k in range(40)]
+    out = resample.importance(spark.createDataFrame(given, "doc_id bigint, text string"), target, percent=90)
+    assert found(out) == brute(given, [t for (t,) in TARGET], percent=90)
+
+
+def test_empty_tables(spark, target):
+    assert resample.importance(documents(spark, empty=True), target).collect() == []
+    none = spark.createDataFrame([], "text string")
+    assert found(resample.importance(documents(spark), none)) == brute([r[:2] for r in ROWS], [])
+    with pytest.raises(ValueError):
+        resample.importance(documents(spark), target, runs=3)
+
+
+def test_resample_returns_whole_rows(spark, target):
+    docs = documents(spark, extra=True)
+    drawn = resample.resample(docs, target, percent=50)
+    assert drawn.columns == docs.columns
+    ids = {r.doc_id for r in resample.importance(docs, target, percent=50).where("rank IS NOT NULL").collect()}
+    assert {r.doc_id for r in drawn.collect()} == ids and ids
