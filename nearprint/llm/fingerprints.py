@@ -6,7 +6,8 @@ fingerprint of a union is the union of fingerprints, and the share of one text t
 contains can be estimated however unequal their sizes.
 
 Words are runs without ASCII white space; a text of fewer than five words is one shingle,
-one without words has none.
+one without words has none.  Where no hash lies below the limit the smallest one is kept, so that
+only wordless texts have an empty fingerprint; that choice too depends on the text alone.
 """
 
 from __future__ import annotations
@@ -37,8 +38,12 @@ def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
         short = F.when(F.size(hashes) > 0, F.array(F.xxhash64(hashes))).otherwise(F.array().cast("array<bigint>"))
         return F.when(F.size(hashes) >= shingle, rolled).otherwise(short)
 
+    def low(all_: Column) -> Column:
+        below = F.filter(all_, lambda g: g < limit)
+        return F.when((F.size(all_) == 0) | F.exists(all_, lambda g: g < limit), below).otherwise(F.array(F.array_min(all_)))
+
     hashed = F.transform(F.array(words), lambda w: F.transform(w, lambda x: F.xxhash64(x)))
-    kept = F.transform(hashed, lambda h: F.filter(grams(h), lambda g: g < limit))
+    kept = F.transform(F.transform(hashed, grams), low)
     return F.sort_array(F.array_distinct(F.get(kept, F.lit(0))))
 
 
@@ -48,9 +53,12 @@ def spell(hashes: Column) -> Column:
 
 
 def containment(a: Column, b: Column) -> Column:
-    """The share of the smaller fingerprint that the other one holds; 0 where one is empty."""
+    """The share of the smaller fingerprint that the other one holds.
+
+    1 for equal ones, also empty ones; 0 where one alone is empty.
+    """
     least = F.least(F.size(a), F.size(b))
-    return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(F.lit(0.0))
+    return F.when(a == b, F.lit(1.0)).when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(F.lit(0.0))
 
 
 def _next_blocks(blocks: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from nearprint.llm import codes
 from nearprint.llm.tables import buckets, doc_key, new_folder
-from nearprint.llm.tokens import Encoder, tokenizer_path
+from nearprint.llm.tokens import Encoder, largest_id, tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -131,19 +131,25 @@ def _shards(path: str, end_id: int, limit: int, wide: bool):
 
 
 def write(
-    docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, limit: int = SHARD_IDS, wide: bool = False,
+    docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, limit: int = SHARD_IDS, wide: bool | None = None,
     id_column: str = "doc_id", text: str = "text",
 ) -> None:
     """Encode the texts and write shards in ascending id order, null last, and their index.
 
-    ``wide`` stores four bytes an id, for vocabularies of more than 65,536.  Null and empty
-    texts are the end id alone.
+    ``wide`` stores four bytes an id; by default it is taken from the largest id there is, and two
+    bytes are refused where that does not fit.  Null and empty texts are the end id alone.  An
+    empty table gives shards and an index without rows.  A text of any length is one entry.
     """
     spark = docs.sparkSession
+    path = path or tokenizer_path(TOKENIZER)
+    large = max(largest_id(path), end_id) >= 1 << 16
+    if wide is False and large:
+        raise ValueError("ids of this vocabulary need four bytes")
+    wide = large if wide is None else wide
     n = buckets(spark)
     chosen = docs.select(doc_key(id_column).alias("key"), F.col(text).alias("text"))
     ordered = chosen.repartitionByRange(n, "key").sortWithinPartitions("key", "text")
-    shards = ordered.mapInArrow(_shards(path or tokenizer_path(TOKENIZER), end_id, limit, wide), SHARDS)
+    shards = ordered.mapInArrow(_shards(path, end_id, limit, wide), SHARDS)
     shards.write.option("compression", "zstd").parquet(f"{folder}/shards")
     places = shard_keys(spark, folder).select("key", "occurrence", "range", "shard", "position", "bucket")
     places.groupBy("bucket").applyInArrow(_index, INDEX).write.parquet(f"{folder}/index")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearprint.llm import codes
-from nearprint.llm.tables import doc_key
+from nearprint.llm.tables import doc_key, own_names
 
 WINDOW = 3
 WINDOWS = "doc bigint, window bigint, proof int"
@@ -91,14 +91,17 @@ def covered(lines: Lines, seen: list[np.ndarray], length: int = WINDOW) -> np.nd
 
 def dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = WINDOW, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """All rows and columns, ``text`` without the lines removed, and under the names ``counts`` how many
-    lines there were and how many were removed.
+    lines there were and how many were removed.  Columns that had these names before give way.
 
     A null text stays null and has no lines.  Null ids order after all others.  Documents
-    that share an id do not come before each other.
+    that share an id do not come before each other.  Empty texts have one line, without words, and
+    stay; a long text is one block of its own.  An empty table gives no rows.
     """
-    keyed = docs.select("*", doc_key(id_column).alias("__doc"))
-    seen = repeated_windows(keyed.select(F.col("__doc").alias("doc"), F.col(text).alias("text")), length)
-    joined = keyed.join(seen.withColumnsRenamed({"doc": "__key", "seen": "__seen"}), F.col("__doc") == F.col("__key"), "left")
+    docs = docs.drop(*counts)
+    own, key, held = own_names(docs, "own_key", "seen_key", "seen_before")
+    keyed = docs.select("*", doc_key(id_column).alias(own))
+    seen = repeated_windows(keyed.select(F.col(own).alias("doc"), F.col(text).alias("text")), length)
+    joined = keyed.join(seen.withColumnsRenamed({"doc": key, "seen": held}), F.col(own) == F.col(key), "left")
     names = docs.columns
     at = names.index(text)
 
@@ -106,7 +109,7 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length
         for block in codes.blocks(batches, text):
             buf, places = codes.flat(block.column(text))
             lines = Lines(buf, places, length)
-            seen = [None if s is None else np.array(s, np.int64).view(np.uint64) for s in block.column("__seen").to_pylist()]
+            seen = [None if s is None else np.array(s, np.int64).view(np.uint64) for s in block.column(held).to_pylist()]
             gone = covered(lines, seen, length)
             removed = np.bincount(lines.text[gone], minlength=len(seen))
             texts = block.column(text).to_pylist()
@@ -122,4 +125,4 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length
             yield pa.RecordBatch.from_arrays([*columns, pa.array(count.astype(np.int64)), pa.array(removed.astype(np.int64))], [*names, *counts])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.select(*names, "__seen").mapInArrow(apply, f"{kinds}, {counts[0]} bigint, {counts[1]} bigint")
+    return joined.select(*names, held).mapInArrow(apply, f"{kinds}, {counts[0]} bigint, {counts[1]} bigint")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearprint.llm.codes import WORD
-from nearprint.llm.tables import materialise
+from nearprint.llm.tables import materialise, own_names
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
@@ -92,7 +92,7 @@ def mix(
     filled = filled.withColumn("end", F.sum("words").over(along))
     cut = (
         filled.alias("f").join(plan.alias("p"), F.col("f.source").eqNullSafe(F.col("p.source")))
-        .where((F.col("end") - F.col("words") <= F.col("rest")) & (F.col("end") > F.col("rest")))
+        .where((F.col("rest") > 0) & (F.col("end") - F.col("words") <= F.col("rest")) & (F.col("end") > F.col("rest")))
         .select(F.col("f.source").alias("cut_source"), F.col("range").alias("cut"), (F.col("end") - F.col("words")).alias("before"))
     )
     plan = materialise(
@@ -122,7 +122,8 @@ def sample(docs: DataFrame, copies: DataFrame, id_column: str = "doc_id") -> Dat
 
     Rows that repeat an id all get the largest number given for it.
     """
-    counted = copies.where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    joined = docs.join(counted, F.col(id_column).eqNullSafe(F.col("__id")))
-    repeated = joined.withColumn("__copy", F.explode(F.expr("sequence(1, cast(__copies as int))")))
+    own, times, copy = own_names(docs, "copied_id", "copies", "copy")
+    counted = copies.where("copies > 0").groupBy(F.col("doc_id").alias(own)).agg(F.max("copies").cast("int").alias(times))
+    joined = docs.join(counted, F.col(id_column).eqNullSafe(F.col(own)))
+    repeated = joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
     return repeated.select(*docs.columns)

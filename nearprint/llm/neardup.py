@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearprint.llm import codes
-from nearprint.llm.tables import LAST, buckets, doc_key, materialise
+from nearprint.llm.tables import LAST, buckets, doc_key, materialise, own_names
 
 SHINGLE = 5
 PERCENT = 85
@@ -329,5 +329,6 @@ def keep_one(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT, floor: float = FLOOR
 ) -> DataFrame:
     """The rows of one document of each group, that of the smallest id, with all their columns."""
-    kept = groups(docs, id_column, text, percent, floor).where("kept").select(F.coalesce("doc_id", F.lit(LAST)).alias("__kept")).distinct()
-    return docs.join(kept, doc_key(id_column) == F.col("__kept"), "left_semi")
+    (name,) = own_names(docs, "kept_id")
+    kept = groups(docs, id_column, text, percent, floor).where("kept").select(F.coalesce("doc_id", F.lit(LAST)).alias(name)).distinct()
+    return docs.join(kept, doc_key(id_column) == F.col(name), "left_semi")

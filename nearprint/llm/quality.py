@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from nearprint.llm import codes
 from nearprint.llm.mixing import draw
-from nearprint.llm.tables import materialise
+from nearprint.llm.tables import materialise, own_names
 
 LABELLED = 20_000
 CELLS = 1 << 16
@@ -160,17 +160,18 @@ def weigh(docs: DataFrame, model: Model, keep: list[str], name: str = "weight")
     """The columns ``keep`` and the log weight of every document, under ``name``."""
     # Plain values: a broadcast is read where this package need not be installed.
     shared = docs.sparkSession.sparkContext.broadcast((model.ratio, model.cutoff))
+    (weighed,) = own_names(docs, "weighed_text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Model(*shared.value)
-        for block in codes.blocks(batches, "__text"):
-            weights = pa.array(known.weights(block.column("__text")))
+        for block in codes.blocks(batches, weighed):
+            weights = pa.array(known.weights(block.column(weighed)))
             columns = [block.column(c) for c in keep] + [weights]
             yield pa.RecordBatch.from_arrays(columns, [*keep, name])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"{name} double"])
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(score, schema)
+    return docs.select(*keep, F.col("text").alias(weighed)).mapInArrow(score, schema)
 
 
 def noisy(weight: str = "weight", seed: str = SEED, temperature: float = TEMPERATURE):
@@ -224,5 +225,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATU
     """The rows of the documents drawn, with their own columns; nothing is shuffled."""
     model = fit(docs, labels)
     _, cut = select(docs, model, None, temperature, seed)
-    weighed = weigh(docs, model, docs.columns, "__weight")
-    return weighed.where(noisy("__weight", seed, temperature) >= cut).select(*docs.columns)
+    (name,) = own_names(docs, "weight")
+    weighed = weigh(docs, model, docs.columns, name)
+    return weighed.where(noisy(name, seed, temperature) >= cut).select(*docs.columns)

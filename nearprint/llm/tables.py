@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nearprint.storage import materialise, new_folder
 
-__all__ = ["buckets", "doc_key", "documents", "materialise", "new_folder", "with_key"]
+__all__ = ["buckets", "doc_key", "documents", "materialise", "new_folder", "own_names", "with_key"]
 
 LAST = 2**63 - 1
 
@@ -21,6 +21,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def own_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``docs`` is called the same in any case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def doc_key(id_column: str = "doc_id") -> Column:
     """The id as a number that orders null after all others."""
     return F.coalesce(F.col(id_column).cast("long"), F.lit(LAST))

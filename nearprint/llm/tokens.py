@@ -34,6 +34,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def largest_id(path: str) -> int:
+    """The largest id a tokenizer's file gives out, added tokens included."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=0)
+
+
 class Encoder:
     """Ids of whole texts, as ``encode(text, add_special_tokens=False)`` gives them."""
 

@@ -13,7 +13,8 @@ SCHEMA = T.StructType([
     T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
 ])
 # Names that the operators use for columns of their own.
-CLASH = ["doc", "key", "block", "size", "weight", "rank", "label", "n", "task", "bucket", "target", "kept"]
+CLASH = ["doc", "key", "block", "size", "weight", "rank", "label", "n", "task", "bucket", "target", "kept", "own_key", "seen_key", "Seen_Before", "kept_id", "weighed_text", "copied_id",
+         "copies", "copy", "n_lines", "n_removed", "word", "node", "score", "mark", "spans", "side"]
 
 
 def words(rng: random.Random, n: int) -> list[str]:

@@ -289,6 +289,30 @@ def test_fingerprints(spark):
         if g["doc_id"] is not None:
             by_text[texts[g["doc_id"]] or ""].add(g["fingerprint"])
     assert all(len(prints) == 1 for prints in by_text.values())
+    assert all(g["near_edited"] == 1 for g in got if sha(texts.get(g["doc_id"]) or "") == g["edited_sha256"] and g["doc_id"] is not None)
+
+
+def test_short_texts_have_fingerprints(spark):
+    texts = [f"word{k} another" for k in range(40)] + ["", " \n", "same words", "same words"]
+    docs = spark.createDataFrame([(k * 1000, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {g["doc_id"] // 1000: g for g in fingerprints.compare(docs).collect()}
+    prints = [got[k]["fingerprint"] for k in range(40)]
+    assert all(prints) and len(set(prints)) == 40 and got[40]["fingerprint"] == ""
+    # 43 follows 0 in descending order, 42 follows 43 and is its equal; 41 and 40 hold no word.
+    assert got[43]["near_next"] == got[41]["near_next"] == 1 and got[42]["near_next"] == got[40]["near_next"] == 0
+
+
+def test_neighbours_of_sparse_ids(spark):
+    """Every id in a block of its own, and many null ids."""
+    rng = random.Random(9)
+    given = [(rng.randrange(2**62), " ".join(words(rng, 8))) for _ in range(120)] + [(None, f"null {k} " * 6) for k in range(40)]
+    ids = sorted(given, key=lambda r: (-(r[0] if r[0] is not None else -(2**63)), r[1]))
+    expected = Counter()
+    for k, (doc_id, text) in enumerate(ids):
+        half = len(text) // 2
+        expected[doc_id, sha(text[: len(text) - half] + ids[(k + 1) % len(ids)][1][:half])] += 1
+    got = fingerprints.compare(spark.createDataFrame(given, "doc_id bigint, text string")).collect()
+    assert Counter((g["doc_id"], g["edited_sha256"]) for g in got) == expected
 
 
 def test_mixing(spark):
@@ -329,3 +353,17 @@ def test_empty_tables(spark):
         fingerprints.compare(docs), idstore.encode_and_read(docs), suffixes.digest(docs),
     ):
         assert made.count() == 0
+
+
+def test_wide_vocabularies_keep_their_ids(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    path = str(tmp_path / "wide.json")
+    wide = Tokenizer(models.WordLevel({f"w{k}": k for k in range(70_001)}, unk_token="w0"))
+    wide.pre_tokenizer = pre_tokenizers.Whitespace()
+    wide.save(path)
+    docs = spark.createDataFrame([(1, "w1 w65535 w65536 w70000"), (2, "w69999")], "doc_id bigint, text string")
+    got = {r[0]: r[2:] for r in collected(idstore.encode_and_read(docs, path=path, end_id=2))}
+    assert got == {k: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for k, ids in ((1, [1, 65535, 65536, 70000, 2]), (2, [69999, 2]))}
+    with pytest.raises(ValueError):
+        idstore.encode_and_read(docs, path=path, wide=False)

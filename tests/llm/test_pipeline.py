@@ -8,7 +8,7 @@ import corpus_pipeline
 import pytest
 from nearprint.llm import neardup
 from nearprint.llm.tables import materialise
-from tests.llm.data import WORD, documents
+from tests.llm.data import CLASH, WORD, documents
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -47,6 +47,27 @@ def test_awkward_rows_go_through(spark):
     assert docs.count() > 0
 
 
+def test_stages_take_clashing_columns_and_empty_tables(spark):
+    given = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    for name in CLASH:
+        given = given.selectExpr("*", f"'own' AS `{name}`")
+    docs, none = given, given.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF_DIR).collect() == []
+        docs = materialise(stage(spark, docs, SF_DIR), "stage")
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.columns == given.columns
+            assert docs.where("kept = 'own' AND copies = 'own'").count() == docs.count() > 0
+
+
+def test_wordless_documents_of_a_clamped_source_stay_within_the_epochs(spark):
+    rows = [(k, "one two three" if k >= 30 else ["", None, " \n"][k % 3], "en", "a", 1) for k in range(40)]
+    rows += [(100 + k, "word " * 2_000, "en", "b", 1) for k in range(20)]
+    docs = spark.createDataFrame(rows, documents(spark).schema)
+    mixed = Counter(r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs, SF_DIR).collect())
+    assert {mixed[k] for k in range(40)} == {3}
+
+
 def test_emptied_documents_go(spark):
     text = "a line of text\nanother line of text\na third line"
     rows = [(1, text, "en", "a", len(text)), (2, text, "en", "a", len(text)), (3, None, "en", "a", None), (4, "x\n" + text, "en", "a", 50)]
