@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearprint.llm import lines, mixing, neardup, packing, quality
-from nearprint.llm.tables import materialise
+from nearprint.llm.tables import materialise, own_names
 
 #: Near copies share 0.8 of their five-word shingles.  Of two such sets, fewer than half of the
 #: 64 sketch values are common with a chance of 2e-8.
@@ -30,9 +30,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``n_chars`` follows the text.  A text that had no word before stays as it is.
     """
-    kept = lines.dedup(docs, counts=("__lines", "__removed"))
-    emptied = (F.col("__removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    changed = kept.where(~emptied).withColumn("n_chars", F.when(F.col("__removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    n_lines, n_removed = own_names(docs, "n_lines", "n_removed")
+    kept = lines.dedup(docs, counts=(n_lines, n_removed))
+    removed = F.col(n_removed) > 0
+    emptied = removed & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    changed = kept.where(~emptied).withColumn("n_chars", F.when(removed, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return changed.select(*docs.columns)
 
 
