@@ -13,21 +13,25 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folder of each local application that names none; the setting itself cannot be changed later.
+_FALLBACKS: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by the session.
 
-    Only a local session may do without the setting: it then gets a temporary folder
-    of its own, kept for the life of the session.
+    Only a local session may do without the setting: its application then gets a temporary
+    folder of its own, which all sessions of the application share.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    fallback = tempfile.mkdtemp(prefix="nearprint-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    application = spark.sparkContext.applicationId
+    if application not in _FALLBACKS:
+        _FALLBACKS[application] = tempfile.mkdtemp(prefix="nearprint-")
+    return _FALLBACKS[application]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

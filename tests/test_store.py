@@ -2,6 +2,10 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import os
+import subprocess
+import sys
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -137,3 +141,17 @@ def test_csv_vectors_and_header_only(spark, tmp_path, rows):
     assert rows(read_csv(spark, str(tmp_path / "v.csv"), encoded)) == [("a", [1.0, 0.0])]
     (tmp_path / "h.csv").write_text("id,processed_content\n")
     assert read_csv(spark, str(tmp_path / "h.csv"), schemas.NORMALISED_CONTENT).count() == 0
+
+
+def test_a_plain_installation_needs_no_settings(tmp_path):
+    """Defaults without a shared folder: a fresh process writes and reads an intermediate table."""
+    script = (
+        "from nearprint.session import local_session\n"
+        "from nearprint.storage import materialise, shared_dir\n"
+        "spark = local_session('plain', 1, '1g')\n"
+        "assert spark.conf.get('spark.checkpoint.dir', None) is None\n"
+        "assert materialise(spark.range(5), 'plain').count() == 5\n"
+        "assert shared_dir(spark) == shared_dir(spark.newSession())\n"
+    )
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "TMPDIR": str(tmp_path), "PYTHONPATH": os.pathsep.join(sys.path)}
+    subprocess.run([sys.executable, "-c", script], env=env, check=True, timeout=120)
