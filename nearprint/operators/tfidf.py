@@ -164,30 +164,55 @@ def for_documents(encoded: DataFrame, member_table: DataFrame) -> DataFrame:
     )
 
 
+def frequency_rows(texts: DataFrame, by: str = "publication", text: str = "processed_content") -> DataFrame:
+    """``(by, word, document_frequency, id)``: what texts add to a table of stored frequencies.
+
+    A row for each word and ``by``, without an id, and one for each text, without a word.  Written
+    at once, a text is counted exactly if its row is there.
+    """
+    counted = texts.select(F.col(by).alias("_by"), F.array_distinct(encoder_tokens(text)).alias("_words"))
+    words = counted.select(F.col("_by").alias(by), F.explode("_words").alias("word")).groupBy(by, "word").agg(
+        F.count(F.lit(1)).alias("document_frequency")
+    )
+    ids = texts.select(by, F.lit(None).cast("string").alias("word"), F.lit(0).cast("long").alias("document_frequency"), "id")
+    return words.withColumn("id", F.lit(None).cast(texts.schema["id"].dataType)).unionByName(ids)
+
+
+def stored_frequencies(rows: DataFrame) -> tuple[DataFrame, Column]:
+    """``(frequencies, number of documents)`` of rows of such a table."""
+    words = rows.where("word IS NOT NULL").groupBy("word").agg(F.sum("document_frequency").alias("document_frequency"))
+    return words, rows.where("id IS NOT NULL").agg(F.count(F.lit(1))).scalar()
+
+
 def encode_texts(
     texts: DataFrame,
     vocabulary: DataFrame | None = None,
     corpus: DataFrame | None = None,
     text: str = "processed_content",
+    counted: tuple[DataFrame, Column] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``(encoded, vocabulary)`` for ``(id, text)`` rows.
 
     Without ``vocabulary`` one is fitted on the texts (the re-fit mode).  With it, words
-    and indices are fixed, and document frequencies come from ``corpus`` when given, or
-    from the texts alone (the batch scope).
+    and indices are fixed, and document frequencies come from ``counted`` (as
+    :func:`stored_frequencies` gives them) or from ``corpus`` when given, or from the texts
+    alone (the batch scope).
     """
     classes, member_table = collapse_texts(texts, text)
     if vocabulary is None:
         vocabulary = fit_vocabulary(classes)
         encoded = encode(classes, vocabulary)
     else:
-        basis = classes if corpus is None else collapse_texts(corpus, text)[0]
-        frequencies = document_frequencies(basis)
-        if corpus is not None:
+        if counted is not None:
+            frequencies, n_documents = counted
+        else:
+            basis = classes if corpus is None else collapse_texts(corpus, text)[0]
+            frequencies, n_documents = document_frequencies(basis), document_count(basis)
+        if corpus is not None or counted is not None:
             # A batch word the corpus has never held counts as unseen, not as unknown.
             words = vocabulary.select("word").join(frequencies, "word", "left")
             frequencies = words.select("word", F.coalesce("document_frequency", F.lit(0)).alias("document_frequency"))
-        encoded = encode(classes, vocabulary, frequencies, document_count(basis))
+        encoded = encode(classes, vocabulary, frequencies, n_documents)
     return for_documents(encoded, member_table), vocabulary
 
 

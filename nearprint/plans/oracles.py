@@ -180,6 +180,8 @@ def _english(text: str) -> str:
 
 
 NORMAL = "SELECT id, processed_content AS text FROM norm"
+KNOWN_NORMAL = f"{NORMAL} WHERE id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)"
+FRESH_NORMAL = f"{NORMAL} WHERE id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)"
 JOB_PAIRS = f"""pairs AS (
         SELECT a.id, b.id AS similar_id, round(sum(a.w * b.w), 6) AS score
         FROM vec a JOIN vec b ON a.word = b.word AND a.id <> b.id
@@ -325,8 +327,9 @@ def sql() -> dict[str, str]:
             "WHERE doc_id NOT IN (SELECT doc_id FROM labels)", "SELECT '' AS word, '' AS lemma WHERE false"
         ),
         "vocabulary": f"""
-            WITH {_vectors(DOCUMENTS)}
-            SELECT word, i AS feature_matrix_index, df AS document_frequency FROM vocab JOIN df USING (word)""",
+            WITH {_counts("basis", DOCUMENTS)}, df AS (SELECT word, count(*) AS df FROM basis GROUP BY word)
+            SELECT word, CAST(row_number() OVER (ORDER BY word) - 1 AS INTEGER) AS feature_matrix_index, df AS document_frequency
+            FROM df""",
         "tfidf_refit": f"WITH {_vectors(DOCUMENTS)} {ENCODED}",
         "tfidf_fixed_vocabulary": f"""
             WITH {_vectors(DOCUMENTS, _words_of("SELECT text FROM benchmark"))}
@@ -406,6 +409,16 @@ def sql() -> dict[str, str]:
         "job_similar_articles": f"""
             WITH {_english("text")}, {_vectors(NORMAL)}, {JOB_PAIRS}
             SELECT id, similar_id AS similar_article_id, score AS similarity_score FROM pairs""",
+        "job_similar_incremental": f"""
+            WITH {_english("text")}, {_vectors(NORMAL)}, {JOB_PAIRS}
+            SELECT id, similar_id AS similar_article_id, score AS similarity_score FROM pairs""",
+        "job_encode_incremental": f"""
+            WITH {_english("text")},
+            both_parts AS (
+                FROM (WITH {_vectors(KNOWN_NORMAL)} SELECT id, i, w FROM vec)
+                UNION ALL FROM (WITH {_vectors(FRESH_NORMAL, _words_of(KNOWN_NORMAL), NORMAL)} SELECT id, i, w FROM vec))
+            SELECT norm.id, CAST(i AS VARCHAR) AS feature_matrix_index, round(w, 6) AS weight
+            FROM norm LEFT JOIN both_parts ON both_parts.id = norm.id""",
         "job_recommendations": f"""
             WITH {_english("text")}, {_vectors(NORMAL)}, {JOB_PAIRS},
             meta AS (SELECT source AS publication, CAST(doc_id AS VARCHAR) AS id, lang AS title,

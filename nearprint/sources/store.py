@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from typing import Any
 
@@ -12,6 +13,9 @@ from pyspark.sql import types as T
 from nearprint.operators.keyed import new_rows
 
 
+LISTED_PARTITIONS = "spark.sql.hive.manageFilesourcePartitions"
+
+
 def qualified(table: str, schema: str) -> str:
     """A quoted two-part name, safe to put into SQL."""
     return ".".join("`" + part.replace("`", "``") + "`" for part in (schema, table))
@@ -34,11 +38,19 @@ class Layout:
         """Rows of one bucket in one task, so that a write adds one file to each bucket."""
         return df.repartition(self.buckets, self.bucket_by) if self.buckets else df
 
-    def save(self, df: DataFrame, name: str) -> None:
+    def save(self, df: DataFrame, name: str, path: str | None = None) -> None:
         writer = self.arranged(df).write.format("parquet").partitionBy(*self.partition_by)
         if self.buckets:
             writer = writer.bucketBy(self.buckets, self.bucket_by)
-        writer.saveAsTable(name)
+        # The folders name the partitions.  A catalog that listed them, each with a place of its
+        # own, could not move a table in one step.
+        conf = df.sparkSession.conf
+        before = conf.get(LISTED_PARTITIONS)
+        conf.set(LISTED_PARTITIONS, "false")
+        try:
+            writer.saveAsTable(name, path=path) if path else writer.saveAsTable(name)
+        finally:
+            conf.set(LISTED_PARTITIONS, before)
 
 
 class TableStore:
@@ -155,15 +167,42 @@ class TableStore:
             else:
                 self.spark.sql(f"ALTER TABLE {old} RENAME TO {name}")
 
+    def location(self, table: str, schema: str) -> str:
+        """The folder that holds the table's files."""
+        described = self.spark.sql(f"DESCRIBE TABLE EXTENDED {qualified(table, schema)}").where("col_name = 'Location'")
+        return described.first()["data_type"]
+
+    def vacuum(self, table: str, schema: str) -> None:
+        """Delete the files of earlier contents.  Call it when no reader of them is left."""
+        current = self.location(table, schema).rstrip("/").rpartition("/")[2]
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(table, schema))
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for found in files.listStatus(path) if files.exists(path) else []:
+            if found.getPath().getName() != current:
+                files.delete(found.getPath(), True)
+
+    def _folder(self, table: str, schema: str) -> str:
+        """Where contents that have replaced others lie, each in a folder of its own."""
+        described = self.spark.sql(f"DESCRIBE DATABASE `{schema.replace('`', '``')}`").where("info_name = 'Location'")
+        return f"{described.first()['info_value'].rstrip('/')}/__contents/{table}"
+
     def _swap(self, df: DataFrame, table: str, schema: str) -> None:
-        # Written aside first, as df may read the table.  Readers see the old or the new rows,
-        # and no table in the moment between the two renames.
-        name = qualified(table, schema)
-        aside, old = qualified(f"{table}__next", schema), qualified(f"{table}__old", schema)
+        # Written to a folder of its own first, as df may read the table, which then moves there in
+        # one catalog call.  A reader that has listed the old files finds them still.
+        name, aside = qualified(table, schema), qualified(f"{table}__next", schema)
         self.recover(table, schema)
         self.spark.sql(f"DROP TABLE IF EXISTS {aside}")
-        self.layout(table, schema).only(df.columns).save(df, aside)
-        if self.spark.catalog.tableExists(name):
+        path = f"{self._folder(table, schema)}/{uuid.uuid4().hex}"
+        self.layout(table, schema).only(df.columns).save(df, aside, path)
+        written, exists = self.spark.table(aside).schema, self.spark.catalog.tableExists(name)
+        if exists and written.simpleString() == self.spark.table(name).schema.simpleString():
+            self.spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
+            self.spark.sql(f"DROP TABLE {aside}")
+            self.spark.catalog.refreshTable(name)
+            return
+        # Other columns make another table: there is none in the moment between two renames.
+        old = qualified(f"{table}__old", schema)
+        if exists:
             self.spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
         self.spark.sql(f"ALTER TABLE {aside} RENAME TO {name}")
         self.spark.sql(f"DROP TABLE IF EXISTS {old}")

@@ -5,6 +5,7 @@ from datetime import datetime
 import os
 import subprocess
 import sys
+import threading
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 
 from nearprint import schemas
 from nearprint.sources.files import append_csv, read_csv
+from nearprint.sources.store import Layout
 from nearprint.storage import new_folder
 
 EXAMPLE = T.StructType([
@@ -155,3 +157,41 @@ def test_a_plain_installation_needs_no_settings(tmp_path):
     )
     env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "TMPDIR": str(tmp_path), "PYTHONPATH": os.pathsep.join(sys.path)}
     subprocess.run([sys.executable, "-c", script], env=env, check=True, timeout=120)
+
+
+@pytest.mark.parametrize("partition_by, buckets", [((), 0), (("part",), 0), (("part",), 2)])
+def test_readers_see_whole_contents_during_replacement(spark, store, schema, partition_by, buckets):
+    columns = T.StructType([T.StructField("id", T.LongType()), T.StructField("version", T.IntegerType()), T.StructField("part", T.IntegerType())])
+    store.create("rows", schema, columns, partition_by, "id" if buckets else None, buckets)
+
+    def contents(version):
+        return spark.range(200).select("id", F.lit(version).alias("version"), (F.col("id") % 3).cast("int").alias("part"))
+
+    store.replace(contents(0), "rows", schema)
+    seen, failed, stop = set(), [], threading.Event()
+
+    def read():
+        while not stop.is_set():
+            try:
+                rows = spark.newSession().table(f"{schema}.rows").groupBy("version").count().collect()
+                seen.add(tuple(tuple(r) for r in rows))
+            except Exception as error:  # noqa: BLE001
+                failed.append(error)
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    early = store.read("rows", schema)
+    early_plan = early._jdf.queryExecution().executedPlan()  # has listed its files
+    for version in range(1, 5):
+        store.replace(contents(version), "rows", schema)
+    stop.set()
+    reader.join()
+    assert not failed and early_plan is not None
+    # Never part of the rows, never rows of two versions.
+    assert seen and all(len(rows) == 1 and rows[0][1] == 200 for rows in seen)
+    assert {r.version for r in early.collect()} == {0}
+    assert {(r.version, r.part) for r in store.read("rows", schema).collect()} == {(4, k) for k in range(3)}
+    store.insert_new_only(contents(9).withColumn("id", F.col("id") + 100), "rows", schema, "id")
+    store.vacuum("rows", schema)
+    assert {r.version: r.n for r in store.read("rows", schema).groupBy("version").agg(F.count("*").alias("n")).collect()} == {4: 200, 9: 100}
+    assert store.layout("rows", schema) == Layout(partition_by, "id" if buckets else None, buckets)
