@@ -164,13 +164,98 @@ def test_quality_rules(spark):
     assert not any(g[7] for g in got if g[6]) and any(g[7] for g in got)
 
 
-def test_kneser_ney_probabilities_add_up():
-    rng = np.random.default_rng(3)
-    code = np.unique(rng.integers(0, 64**3, 5000))
-    model = rules.Model.estimate(code, rng.integers(1, 9, len(code)).astype(float))
-    table = np.exp(model.spread()[: 64**3]).reshape(64 * 64, 64)
-    assert np.allclose(table.sum(axis=1), 1, atol=1e-4)
-    assert (table > 0).all() and (np.diff(model.codes) > 0).all()
+def kneser_ney(runs: set[str], order: int, pruned: int):
+    """The probability of a sign after others, straight from the definition."""
+    levels = {order + 1: runs}
+    for n in range(order, 0, -1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    del levels[order + 1]
+    taken = {}
+    for n, level in levels.items():
+        n1, n2, n3, n4 = (max(1, sum(c == k for c in level.values())) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
+        taken[n] = [max(0.1, min(k + 1.0, v)) for k, v in enumerate(d)]
+
+    def p(gram: str) -> float:
+        n = len(gram)
+        if not n:
+            return 1 / (len(levels[1]) + 1)
+        after = {g: c for g, c in levels[n].items() if g[:-1] == gram[:-1]}
+        if not after:
+            return p(gram[1:])
+        least = 2 if n >= pruned else 1
+        left = {g: c - taken[n][min(c, 3) - 1] for g, c in after.items() if c >= least}
+        total = sum(after.values())
+        return left.get(gram, 0.0) / total + (1 - sum(left.values()) / total) * p(gram[1:])
+
+    return p
+
+
+def test_kneser_ney_as_defined(spark):
+    rng = random.Random(5)
+    text = "".join(rng.choices("abcdeé", [9, 7, 5, 3, 1, 1], k=700))
+    runs = {text[k : k + 4] for k in range(len(text) - 3)}
+    rows = [(name, gram) for name in ("=x", "") for gram in runs]
+    got = rules.probabilities(spark.createDataFrame(rows, "name string, gram string"), order=3, pruned=3).collect()
+    model = {r["gram"]: (r["logp"], r["off"]) for r in got if r["name"] == ""}
+    assert {r["gram"]: (r["logp"], r["off"]) for r in got if r["name"] == "=x"} == model
+
+    def p(gram: str) -> float:
+        logp, _ = model.get(gram, (None, 0.0))
+        return math.exp(logp) if logp is not None else math.exp(model.get(gram[:-1], (None, 0.0))[1]) * p(gram[1:])
+
+    defined = kneser_ney(runs, 3, 3)
+    signs = sorted(set(text))
+    for context in [a + b for a in signs for b in signs]:
+        for sign in signs:
+            assert math.isclose(p(context + sign), defined(context + sign), rel_tol=1e-9)
+        assert math.isclose(sum(p(context + sign) for sign in [*signs, "?"]), 1, rel_tol=1e-9)
+
+
+def test_losses_are_those_of_the_model_and_the_same_by_parts(spark):
+    rng = random.Random(6)
+    rows = [*ROWS, *((5000 + k, " ".join(words(rng, 80)), rng.choice(["en", "fr", None]), "a", 1) for k in range(60))]
+    docs = spark.createDataFrame(rows, documents(spark).schema)
+    model = rules.fit(docs)
+    sent, parted = (collected(rules.scores(docs, model, sent_rows=n)) for n in (10**9, 0))
+    assert Counter(sent) == Counter(parted) and len(sent) == len(rows)
+    fold = str.maketrans({**dict.fromkeys("0123456789", "0"), **dict.fromkeys("\t\n\v\f\r ", " ")})
+    by_lang = defaultdict(set)
+    for _, text, lang, *_ in rows:
+        t = (text or "").translate(fold)
+        by_lang[lang].update(t[k : k + rules.ORDER + 1] for k in range(len(t) - rules.ORDER))
+    defined = {lang: kneser_ney(runs, rules.ORDER, rules.PRUNED) for lang, runs in by_lang.items()}
+    losses = {r[0]: (r[-2], r[-1]) for r in sent}
+    for doc_id, text, lang, *_ in rows[-3:]:
+        t = text.translate(fold)
+        grams = Counter(t[k : k + rules.ORDER] for k in range(len(t) - rules.ORDER + 1))
+        assert losses[doc_id][0] == sum(grams.values())
+        assert math.isclose(losses[doc_id][1], -sum(c * math.log(defined[lang](g)) for g, c in grams.items()), rel_tol=1e-5)
+
+
+def test_verdict_follows_from_losses_and_bands(spark):
+    rng = random.Random(7)
+    rows = [*ROWS, *((7000 + k, " ".join(words(rng, rng.randint(60, 200))), "en", "a", 1) for k in range(80))]
+    rows += [(8000 + k, "".join(rng.choices("!?#/{}[]~^ ", k=900)), "en", "a", 1) for k in range(3)]
+    docs = spark.createDataFrame(rows, documents(spark).schema)
+    scored = [r.asDict() for r in rules.scores(docs, rules.fit(docs)).collect()]
+    judged = defaultdict(list)
+    for r in scored:
+        r["failed"] = r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]
+        if not r["failed"]:
+            judged[r["lang"]].append(r)
+    for group in judged.values():
+        middle = float(np.median([round(r["loss"] / max(1, r["n_grams"]), 3) for r in group]))
+        for r in group:
+            r["drawn"] = (r["loss"] + rules.PRIOR_CHARS * middle) / (r["n_grams"] + rules.PRIOR_CHARS)
+        mid = float(np.median([r["drawn"] for r in group]))
+        reach = rules.REACH * max(float(np.median([abs(r["drawn"] - mid) for r in group])), rules.LEAST * mid)
+        for r in group:
+            r["kept"] = abs(r["drawn"] - mid) <= reach
+    by_id = {(r["doc_id"], r["n_words"], r["kept"]) for r in rules.apply(docs).collect()}
+    assert by_id == {(r["doc_id"], r["n_words"], r.get("kept", False)) for r in scored}
+    assert len(scored) == len(rows) and not any(k for i, _, k in by_id if i is not None and 8000 <= i < 8003)
 
 
 def test_perplexity_rejects_noise(spark):
