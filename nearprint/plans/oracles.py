@@ -249,6 +249,9 @@ def sql() -> dict[str, str]:
         "replace_contents": "SELECT doc_id, quality, 1 - toxic AS toxic FROM labels",
         "delete_by_key": """
             SELECT p_partkey, p_name, p_brand FROM part WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#17')""",
+        "delete_in_partitions": """
+            SELECT doc_id, n_chars, source, lang FROM documents
+            WHERE NOT coalesce(lang = 'de' OR lang = 'fr' AND n_chars < 1000, false)""",
         "dedupe_keep_first": """
             SELECT doc_id, md5(text) AS text_id, source, lang, n_chars FROM documents
             QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) = 1""",
@@ -440,5 +443,7 @@ def sql() -> dict[str, str]:
         "csv_append_roundtrip": """
             SELECT c_name || ', "' || c_mktsegment || '"' AS name, c_nationkey AS nation FROM customer
             UNION ALL SELECT s_name, s_nationkey FROM supplier""",
+        "sorted_export": """
+            SELECT row_number() OVER (ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS position, o_orderkey, o_custkey, o_totalprice FROM orders""",
         "stream_ingest_new_only": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
     }

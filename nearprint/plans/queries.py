@@ -216,6 +216,17 @@ def delete_by_key(spark, sf_dir):
     return store.read("part", schema)
 
 
+@query
+def delete_in_partitions(spark, sf_dir):
+    """Short documents deleted from a table partitioned by language; one language goes as a whole."""
+    store, schema = scratch_store(spark)
+    rows = load(spark, sf_dir, "documents").select("doc_id", "n_chars", "source", "lang")
+    store.create("documents", schema, rows.schema, partition_by=("lang",))
+    store.write(rows, "documents", schema, mode="append")
+    store.delete("documents", schema, (F.col("lang") == "de") | (F.col("lang") == "fr") & (F.col("n_chars") < 1000))
+    return store.read("documents", schema)
+
+
 @query
 def dedupe_keep_first(spark, sf_dir):
     documents = load(spark, sf_dir, "documents").withColumn("text_id", scalar.article_id("text"))
@@ -570,6 +581,15 @@ def csv_append_roundtrip(spark, sf_dir):
     return files.read_csv(spark, folder, customer.schema)
 
 
+@query
+def sorted_export(spark, sf_dir):
+    """Orders written best first and read back, each with its place in the files."""
+    folder = new_folder(spark, "sorted")
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    files.export_sorted(orders, folder, [F.desc_nulls_last("o_totalprice"), F.asc("o_orderkey")])
+    return files.read_sorted(spark, folder)
+
+
 @query
 def stream_ingest_new_only(spark, sf_dir):
     """Events streamed into a table; a second stream over the same files adds nothing."""

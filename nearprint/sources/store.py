@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearprint.operators.keyed import new_rows
+from nearprint.storage import materialise
 
-
+OVERWRITTEN = "spark.sql.sources.partitionOverwriteMode"
 LISTED_PARTITIONS = "spark.sql.hive.manageFilesourcePartitions"
 
 
@@ -154,9 +157,44 @@ class TableStore:
         self._swap(df.select(*[F.col(f.name).cast(f.dataType) for f in wanted]), table, schema)
 
     def delete(self, table: str, schema: str, condition: Column) -> None:
-        """Delete the rows for which the condition is true (not those where it is null)."""
-        rows = self.read(table, schema)
-        self._swap(rows.where(~F.coalesce(condition, F.lit(False))), table, schema)
+        """Delete the rows for which the condition is true (not those where it is null).
+
+        Of a partitioned table only the partitions that hold such a row are written anew; the
+        files of all others stay.  Without partitions the whole table is.  A delete that was cut
+        off is finished by the same call.
+        """
+        rows, gone = self.read(table, schema), F.coalesce(condition, F.lit(False))
+        layout = self.layout(table, schema)
+        if layout.partition_by:
+            self._delete_in_partitions(rows, gone, layout, table, schema)
+        else:
+            self._swap(rows.where(~gone), table, schema)
+
+    def _delete_in_partitions(self, rows: DataFrame, gone: Column, layout: Layout, table: str, schema: str) -> None:
+        folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+        marked = rows.select("*", gone.alias("__gone"), folder.alias("__folder"))
+        counts = marked.groupBy(*layout.partition_by, "__folder").agg(
+            F.count_if("__gone").alias("__n_gone"), F.count_if(~F.col("__gone")).alias("__n_left")
+        )
+        # A row for each partition at most.
+        touched = materialise(counts.where(F.col("__n_gone") > 0), "touched")
+        emptied = [r["__folder"] for r in touched.where("__n_left = 0").select("__folder").collect()]
+        mixed = touched.where("__n_left > 0").select(*[F.col(c).alias(f"__{c}") for c in layout.partition_by])
+        if not mixed.isEmpty():
+            same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in layout.partition_by])
+            left = rows.where(~gone).join(mixed, same, "left_semi")
+            conf = self.spark.conf
+            before = conf.get(OVERWRITTEN)
+            conf.set(OVERWRITTEN, "dynamic")
+            try:
+                layout.arranged(left).write.insertInto(qualified(table, schema), overwrite=True)
+            finally:
+                conf.set(OVERWRITTEN, before)
+        jvm = self.spark._jvm
+        for folder in emptied:
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.spark.catalog.refreshTable(qualified(table, schema))
 
     def recover(self, table: str, schema: str) -> None:
         """Finish a swap that was cut off between its two renames."""

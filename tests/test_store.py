@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearprint import schemas
+from nearprint.sources import files
 from nearprint.sources.files import append_csv, read_csv
 from nearprint.sources.store import Layout
 from nearprint.storage import new_folder
@@ -195,3 +196,43 @@ def test_readers_see_whole_contents_during_replacement(spark, store, schema, par
     store.vacuum("rows", schema)
     assert {r.version: r.n for r in store.read("rows", schema).groupBy("version").agg(F.count("*").alias("n")).collect()} == {4: 200, 9: 100}
     assert store.layout("rows", schema) == Layout(partition_by, "id" if buckets else None, buckets)
+
+
+@pytest.mark.parametrize("buckets", [0, 2])
+def test_delete_leaves_untouched_partitions_alone(spark, store, schema, buckets):
+    rows = spark.createDataFrame(
+        [(k, f"v{k}", place) for k, place in enumerate(["a b", "a b", "c", "c", "d=%", None, None])], "id int, value string, place string"
+    )
+    store.create("t", schema, rows.schema, partition_by=("place",), bucket_by="id" if buckets else None, buckets=buckets)
+    store.write(rows, "t", schema, mode="append")
+
+    def files_of(condition):
+        return {r[0] for r in store.read("t", schema).where(condition).select("_metadata.file_path").collect()}
+
+    untouched = files_of("place = 'c'")
+    # One partition goes whole, one with a sign in its name too, one in part, the null one in part.
+    store.delete("t", schema, F.expr("place = 'a b' AND id = 0 OR place = 'd=%' OR place IS NULL AND id = 5"))
+    assert sorted(r["id"] for r in store.read("t", schema).collect()) == [1, 2, 3, 6]
+    assert files_of("place = 'c'") == untouched
+    store.delete("t", schema, F.col("place") == "a b")
+    store.delete("t", schema, F.col("id") > 100)
+    assert sorted(r["id"] for r in store.read("t", schema).collect()) == [2, 3, 6]
+    assert files_of("place = 'c'") == untouched
+    assert store.layout("t", schema).partition_by == ("place",)
+    store.delete("t", schema, F.lit(True))
+    assert store.read("t", schema).count() == 0
+
+
+def test_sorted_export(spark):
+    rows = [(k * 7919 % 1000 if k % 10 else None, k) for k in range(2000)]
+    df = spark.createDataFrame(rows, "score int, id int").repartition(5)
+    folder = new_folder(spark, "sorted")
+    files.export_sorted(df, folder, [F.desc_nulls_last("score"), F.asc("id")], files=4)
+    got = [tuple(r) for r in files.read_sorted(spark, folder).orderBy("position").collect()]
+    expected = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert got == [(k, *r) for k, r in enumerate(expected, 1)]
+    listed = files.manifest(spark, folder).orderBy("number").collect()
+    assert len(listed) == 4 and listed[-1]["before"] + listed[-1]["rows"] == 2000
+    empty = new_folder(spark, "sorted")
+    files.export_sorted(df.where("id < 0"), empty, [F.asc("id")])
+    assert files.read_sorted(spark, empty).count() == 0
