@@ -387,6 +387,10 @@ def sql() -> dict[str, str]:
                    'https://api.example/' || doc_id AS api_url, {_strip("text")} AS content,
                    'Document ' || doc_id AS web_title
             FROM documents ORDER BY documents.doc_id DESC LIMIT {2 * NEWEST}""",
+        "job_quarantine": """
+            SELECT DISTINCT 'api_content' AS job, 'https://api.example/cut/' || doc_id AS source, md5(coalesce(body, '')) AS body_id,
+                   body, 'not a response' AS problem
+            FROM (SELECT doc_id, '{"response": {"status": "ok", "content": ' || quality AS body FROM labels)""",
         "job_page_articles": f"""
             WITH landed AS (
                 SELECT page_id, 'https://news.example' || regexp_extract(html, 'href="([^"]*)"', 1) AS url, html FROM pages
