@@ -30,7 +30,8 @@ HEADLINE = rf"(?is)<h1(?=[\s/>]){_REST}(.*?)</h1\s*+>"
 ARTICLE = rf"(?is)<article(?=[\s/>]){_REST}(.*?)</article\s*+>"
 PARAGRAPH_START = rf"(?i)<p(?=[\s/>]){_REST}"
 PARAGRAPH_END = r"(?i)</p\s*+>"
-ANCHOR = rf"(?is)<a(?=\s){_REST}.*?</a\s*+>"
+ANCHOR_START = rf"(?is)<a(?=\s){_REST}"
+ANCHOR_END = r"(?i)</a\s*+>"
 # Attributes of other names are passed over whole, with what their values hold.
 HREF = rf"(?is)^<a(?:[\s/]++(?!href[\s=])[^\s/>=]++(?:\s*+=\s*+{_VALUE}?+)?+)*+[\s/]++href\s*+=\s*+({_VALUE})"
 QUOTED = r"""(?s)^(["'])(.*)\1$"""
@@ -97,13 +98,43 @@ def paragraphs(markup: Column | str) -> Column:
     return decode_all(F.transform(bodies, lambda part: _untagged(F.get(F.split(part, PARAGRAPH_END), 0))))
 
 
+def _inside(bodies: Column, at: Column) -> Column:
+    """The markup up to the end tag that belongs to the start tag before body ``at``.
+
+    Each further body follows a start tag, so it opens one link more.  Without an end tag the
+    link reaches to the end of the markup.
+    """
+
+    def step(state: Column, body: Column) -> Column:
+        pieces = F.split(body, ANCHOR_END)
+        depth, ends = state["depth"] + 1, F.size(pieces) - 1
+        closed = ends >= depth
+        read = F.concat(state["text"], F.array_join(F.when(closed, F.slice(pieces, F.lit(1), depth)).otherwise(pieces), ""))
+        after = F.struct(F.when(closed, F.lit(-1)).otherwise(depth - ends).alias("depth"), read.alias("text"))
+        return F.when(state["depth"] < 0, state).otherwise(after)
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"))
+    rest = F.slice(bodies, at + 1, F.size(bodies))
+    # Nearly all links end before the next one starts; only others are read on.
+    plain = F.split(F.get(bodies, at), ANCHOR_END)
+    return F.when(F.size(plain) > 1, F.get(plain, 0)).otherwise(F.aggregate(rest, start, step, lambda state: state["text"]))
+
+
 def anchors(markup: Column | str) -> Column:
-    """``[(href, text)]`` of the links in document order; links in comments do not count."""
-    found = F.regexp_extract_all(visible_markup(markup), F.lit(ANCHOR), F.lit(0))
-    hrefs = F.transform(found, lambda a: F.regexp_replace(F.regexp_extract(a, HREF, 1), QUOTED, "$2"))
+    """``[(href, text)]`` of the links in document order; links in comments do not count.
+
+    A link inside another one counts too, and its text belongs to both.  One that is not
+    closed reaches to the end of the markup.
+    """
+    visible = visible_markup(markup)
+    starts = F.regexp_extract_all(visible, F.lit(ANCHOR_START), F.lit(0))
+    parts = F.split(visible, ANCHOR_START)
+    bodies = F.slice(parts, F.lit(2), F.size(parts))
+    hrefs = F.transform(starts, lambda a: F.regexp_replace(F.regexp_extract(a, HREF, 1), QUOTED, "$2"))
+    texts = F.transform(starts, lambda _, at: _untagged(_inside(bodies, at)))
     pairs = F.zip_with(
         decode_all(hrefs),
-        decode_all(F.transform(found, _untagged)),
+        decode_all(texts),
         lambda href, text: F.struct(href.alias("href"), text.alias("text")),
     )
     return F.filter(pairs, lambda a: a["href"] != "")

@@ -86,9 +86,14 @@ def merge_new_rows(
     return target.unionByName(new_rows(target, batch, key, order))
 
 
+def column_difference(given: list[str], wanted: list[str]) -> list[str]:
+    """The names that only one of the two holds, in order."""
+    return sorted(set(given) ^ set(wanted))
+
+
 def check_columns(given: list[str], wanted: list[str]) -> None:
     """Raise unless both hold the same column names, in any order."""
-    difference = sorted(set(given) ^ set(wanted))
+    difference = column_difference(given, wanted)
     if difference:
         raise ValueError(f"columns differ from those of the table: {', '.join(difference)}")
 

@@ -210,6 +210,23 @@ def sql() -> dict[str, str]:
             FROM customer""",
         "param_query": """
             SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT'""",
+        "read_forms": """
+            SELECT 'table' AS form, count(*) AS n_rows FROM labels
+            UNION ALL SELECT 'query', count(*) FROM labels
+            UNION ALL SELECT 'query with params', count(*) FROM labels WHERE quality = 1
+            UNION ALL VALUES ('table and query', NULL), ('table without schema', NULL),
+                             ('params without query', NULL), ('nothing', NULL)""",
+        "stored_columns": """
+            SELECT 1 AS position, 'l_shipdate' AS name, count(l_shipdate) AS n_values FROM lineitem
+            UNION ALL SELECT 2, 'l_orderkey', count(l_orderkey) FROM lineitem
+            UNION ALL SELECT 3, 'l_returnflag', count(l_returnflag) FROM lineitem""",
+        "column_difference": """
+            SELECT 'documents' AS origin, 'lang' AS name, count(lang) AS n_values FROM documents
+            UNION ALL SELECT 'documents', 'n_chars', count(n_chars) FROM documents
+            UNION ALL SELECT 'documents', 'source', count(source) FROM documents
+            UNION ALL SELECT 'documents', 'text', count(text) FROM documents
+            UNION ALL SELECT 'labels', 'quality', count(quality) FROM labels
+            UNION ALL SELECT 'labels', 'toxic', count(toxic) FROM labels""",
         "min_max_column": """
             SELECT min(o_orderdate) AS min_date, max(o_orderdate) AS max_date,
                    min(o_totalprice) AS min_price, max(o_totalprice) AS max_price FROM orders""",
@@ -311,6 +328,11 @@ def sql() -> dict[str, str]:
                    {_without_tags(f"regexp_extract(visible, {_quote(HEADLINE)}, 1)")} AS title,
                    array_to_string(parts, ' ') AS content
             FROM ({_paragraphs()})""",
+        "parsed_without_excluded": """
+            SELECT md5('https://news.example/' || conv_id) AS id, 'https://news.example/' || conv_id AS url,
+                   'Conversation ' || conv_id AS title,
+                   coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role <> 'assistant'), '') AS content
+            FROM conversations GROUP BY conv_id""",
         "parsed_authors": f"""
             SELECT columnist, 'https://news.example' || href AS homepage FROM (
                 SELECT url, pos, href, {_title_case("txt")} AS columnist

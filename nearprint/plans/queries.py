@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +78,58 @@ def param_query(spark, sf_dir):
     )
 
 
+@query
+def read_forms(spark, sf_dir):
+    """Rows that each form of reading gives; forms that contradict themselves are refused."""
+    store, schema = scratch_store(spark)
+    store.write(load(spark, sf_dir, "labels"), "labels", schema)
+    whole = f"SELECT * FROM {schema}.labels"
+    forms = {
+        "table": {"table": "labels", "schema": schema},
+        "query": {"query": whole},
+        "query with params": {"query": f"{whole} WHERE quality = :q", "params": {"q": 1}},
+        "table and query": {"table": "labels", "schema": schema, "query": whole},
+        "table without schema": {"table": "labels"},
+        "params without query": {"table": "labels", "schema": schema, "params": {"q": 1}},
+        "nothing": {},
+    }
+    read, refused = [], []
+    for form, given in forms.items():
+        try:
+            read.append(store.read(**given).agg(F.lit(form).alias("form"), F.count("*").alias("n_rows")))
+        except ValueError:
+            refused.append((form, None))
+    return keyed.concat([*read, spark.createDataFrame(refused, "form string, n_rows long")])
+
+
+@query
+def stored_columns(spark, sf_dir):
+    """Columns of a stored table in their order, with the rows that hold a value."""
+    store, schema = scratch_store(spark)
+    store.write(load(spark, sf_dir, "lineitem").select("l_shipdate", "l_orderkey", "l_returnflag"), "lineitem", schema)
+    names = store.columns("lineitem", schema)
+    counts = store.read("lineitem", schema).agg(*(F.count(name).alias(name) for name in names))
+    entries = [
+        F.struct(F.lit(at).alias("position"), F.lit(name).alias("name"), F.col(name).alias("n_values"))
+        for at, name in enumerate(names, 1)
+    ]
+    return counts.select(F.inline(F.array(*entries)))
+
+
+@query
+def column_difference(spark, sf_dir):
+    """Columns that only one of two tables has, with the rows that hold a value there."""
+    documents, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    names = keyed.column_difference(documents.columns, labels.columns)
+    return keyed.concat([
+        table.agg(*(F.count(name).alias(name) for name in names if name in table.columns)).select(F.inline(F.array(*(
+            F.struct(F.lit(title).alias("origin"), F.lit(name).alias("name"), F.col(name).alias("n_values"))
+            for name in names if name in table.columns
+        ))))
+        for title, table in (("documents", documents), ("labels", labels))
+    ])
+
+
 @query
 def min_max_column(spark, sf_dir):
     orders = load(spark, sf_dir, "orders")
@@ -382,6 +435,24 @@ def parsed_articles(spark, sf_dir):
     return sites.read_articles(_site_pages(spark, sf_dir), GIVEN_PAGES)
 
 
+@query
+def parsed_without_excluded(spark, sf_dir):
+    """Conversations as pages whose answers stand in a box that is left out."""
+    escaped = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    said = F.concat(F.lit("<p>"), escaped, F.lit("</p>"))
+    boxed = F.concat(F.lit('<div class="more">'), said, F.lit("</div>"))
+    markup = F.when(F.col("role") == "assistant", boxed).otherwise(said)
+    turns = load(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", markup.alias("markup")).alias("said"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list("said")), lambda t: t["markup"]), "")
+    title = F.concat(F.lit("<h1>Conversation "), F.col("conv_id").cast("string"), F.lit("</h1>"))
+    pages = turns.groupBy("conv_id").agg(body.alias("body")).select(
+        F.concat(F.lit("https://news.example/"), F.col("conv_id").cast("string")).alias("url"),
+        F.concat(F.lit("<article>"), title, F.col("body"), F.lit("</article>")).alias("html"),
+    )
+    site = replace(GIVEN_PAGES, skip_parent=sites.element("div", class_="more"))
+    return sites.read_articles(pages, site)
+
+
 @query
 def parsed_authors(spark, sf_dir):
     return sites.read_authors(_site_pages(spark, sf_dir), GIVEN_PAGES)

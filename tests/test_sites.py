@@ -175,3 +175,16 @@ def test_unreadable_pages_are_rows(spark, rows):
     assert rows(read.select("url", "problem")) == [
         ("http://a", None), ("http://b", "no body"), ("http://n", "no markup"), ("http://t", "no title"),
     ]
+
+
+def test_links_inside_others_and_without_end(spark):
+    cases = {
+        '<a href="/one">1<a href="/two">2</a>3</a>4': [("/one", "123"), ("/two", "2")],
+        '<a href="/a">x</a> <a href="/b">y': [("/a", "x"), ("/b", "y")],
+        '<a href="/a">x<a href="/b">y</a>z': [("/a", "xyz"), ("/b", "y")],
+        '<a href="/a"><b>x</b></a></a><a>no</a><a href="/c"></a>': [("/a", "x"), ("/c", "")],
+        "no link": [],
+    }
+    pages = spark.createDataFrame([(m,) for m in cases], "m string")
+    for row in pages.select("m", html.anchors("m").alias("found")).collect():
+        assert [tuple(link) for link in row.found] == cases[row.m], row.m

@@ -147,3 +147,22 @@ def test_key_of_several_columns(spark, rows):
     articles = spark.createDataFrame([("a", 1, "one"), ("b", 1, "two")], "publication string, id int, content string")
     done = spark.createDataFrame([("a", 1)], "publication string, id int")
     assert rows(text.normalise_new(articles, done, key=["publication", "id"], stops={"en": ("of",)})) == [("b", 1, "two")]
+
+
+def test_lemma_tables_of_either_size_agree(spark):
+    given = [(1, "words contains Words"), (1, "words contains Words"), (1, "of"), (2, None), (3, ""), (None, "spaces " * 9)]
+    articles = spark.createDataFrame(given, "id int, content string").repartition(3)
+    lemmas = spark.createDataFrame([*LEMMAS, ("same", "same")], "word string, lemma string")
+    stops = {"en": ("of",)}
+    order = lambda df: sorted(map(tuple, df.collect()), key=str)
+    small = text.normalise(articles, stops, lemmas)
+    assert order(small) == order(text.normalise(articles, stops, lemmas, lemma_bytes=0))
+    assert (None, " ".join(["space"] * 9)) in order(small) and (2, None) in order(small)
+    assert text.normalise(articles.where("false"), stops, lemmas).count() == 0
+
+
+def test_lemma_lookup_moves_no_text(spark):
+    articles = spark.createDataFrame([(1, "words")], "id int, content string")
+    lemmas = spark.createDataFrame(LEMMAS, "word string, lemma string")
+    plan = text.normalise(articles, {"en": ("of",)}, lemmas)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
