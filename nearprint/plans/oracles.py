@@ -211,11 +211,11 @@ def sql() -> dict[str, str]:
         "param_query": """
             SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT'""",
         "read_forms": """
-            SELECT 'table' AS form, count(*) AS n_rows FROM labels
-            UNION ALL SELECT 'query', count(*) FROM labels
-            UNION ALL SELECT 'query with params', count(*) FROM labels WHERE quality = 1
-            UNION ALL VALUES ('table and query', NULL), ('table without schema', NULL),
-                             ('params without query', NULL), ('nothing', NULL)""",
+            SELECT 'table' AS form, count(*) AS n_rows, false AS refused FROM labels
+            UNION ALL SELECT 'query', count(*), false FROM labels
+            UNION ALL SELECT 'query with params', count(*), false FROM labels WHERE quality = 1
+            UNION ALL VALUES ('table and query', 0, true), ('table without schema', 0, true),
+                             ('params without query', 0, true), ('nothing', 0, true)""",
         "stored_columns": """
             SELECT 1 AS position, 'l_shipdate' AS name, count(l_shipdate) AS n_values FROM lineitem
             UNION ALL SELECT 2, 'l_orderkey', count(l_orderkey) FROM lineitem

@@ -96,10 +96,10 @@ def read_forms(spark, sf_dir):
     read, refused = [], []
     for form, given in forms.items():
         try:
-            read.append(store.read(**given).agg(F.lit(form).alias("form"), F.count("*").alias("n_rows")))
+            read.append(store.read(**given).agg(F.lit(form).alias("form"), F.count("*").alias("n_rows"), F.lit(False).alias("refused")))
         except ValueError:
-            refused.append((form, None))
-    return keyed.concat([*read, spark.createDataFrame(refused, "form string, n_rows long")])
+            refused.append((form, 0, True))
+    return keyed.concat([*read, spark.createDataFrame(refused, "form string, n_rows long, refused boolean")])
 
 
 @query
