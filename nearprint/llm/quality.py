@@ -5,10 +5,11 @@ target text (documents labelled good), one of all raw text.  The log of their ra
 weight of a document.  Documents are drawn without replacement by Gumbel top-k: each
 weight gets seeded Gumbel noise, and the ``k`` largest sums stay.
 
-N-grams are single word shapes and pairs of them.  A shape is how a word begins and ends
-(small or capital letter, digit, sign, other script), its length, and whether it repeats
-the word before or the one before that.  Vocabularies are too open for n-grams of the words
-themselves: most would be unknown to a target model of some thousand documents.
+N-grams are single words, pairs of words, and shapes of both.  A shape is how a word begins
+and ends (small or capital letter, digit, sign, other script), its length, and whether it
+repeats the word before or the one before that; shapes speak where a vocabulary is so open
+that words do not.  Each kind has its own cells.  Both models are smoothed at the size of
+the target sample, so that a cell the sample could hardly have held changes no weight.
 
 What is bounded, and by what: the target model reads at most ``LABELLED`` labelled rows,
 those of smallest id hash; the models are two arrays of ``CELLS`` counts.  The counts of raw
@@ -30,14 +31,15 @@ from nearprint.llm.mixing import draw
 from nearprint.llm.tables import materialise, own_names
 
 LABELLED = 20_000
-CELLS = 1 << 16
+#: Cells of each kind of n-gram: words, pairs of words, shapes.
+KIND_CELLS = 1 << 16
+CELLS = 3 * KIND_CELLS
 SEGMENTS = 64
 SEED = "quality-1"
-#: Scale of the Gumbel noise, in units of log weight.
-TEMPERATURE = 0.25
-#: The target model is mixed with the raw one at this share, so that what the labelled
-#: documents happen not to hold lowers a weight by a bounded step.
-PRIOR = 0.1
+#: Scale of the Gumbel noise, in units of log weight: 1 draws in proportion to the ratio.
+TEMPERATURE = 1.0
+#: Added to each cell of both models, the raw one scaled to the size of the target sample.
+SMOOTHING = 4.0
 
 _SHAPE = np.zeros(256, np.uint64)
 _SHAPE[97:123] = 1
@@ -50,25 +52,27 @@ for _at, _sign in enumerate(b".,;:!?'\"()[]{}<>|#*$%&@/\\+-=_~^`"):
 
 def features(buf: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cells of all n-grams of a block, and the text each belongs to."""
-    cells, texts = [], []
     words = codes.Words(buf, places)
-    if len(words.start):
-        h = words.hashes(codes.rolling(buf))
-        shape = _SHAPE[buf[words.start]] << np.uint64(8) | _SHAPE[buf[words.end - 1]]
-        length = np.minimum(words.end - words.start, 15).astype(np.uint64)
-        again = np.zeros(len(h), np.uint64)
-        again[1:] |= ((h[1:] == h[:-1]) & (words.text[1:] == words.text[:-1])).astype(np.uint64)
-        again[2:] |= ((h[2:] == h[:-2]) & (words.text[2:] == words.text[:-2])).astype(np.uint64) << np.uint64(1)
-        shape = shape << np.uint64(8) | length << np.uint64(2) | again
-        cells.append(codes.mix(shape + np.uint64(7 << 40)) % np.uint64(CELLS))
-        texts.append(words.text)
-        pair = words.text[1:] == words.text[:-1]
-        both = shape[1:][pair] << np.uint64(24) | shape[:-1][pair]
-        cells.append(codes.mix(both + np.uint64(11 << 52)) % np.uint64(CELLS))
-        texts.append(words.text[1:][pair])
-    if not cells:
+    if not len(words.start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(cells).astype(np.int64), np.concatenate(texts)
+    h = words.hashes(codes.rolling(buf))
+    shape = _SHAPE[buf[words.start]] << np.uint64(8) | _SHAPE[buf[words.end - 1]]
+    length = np.minimum(words.end - words.start, 15).astype(np.uint64)
+    again = np.zeros(len(h), np.uint64)
+    again[1:] |= ((h[1:] == h[:-1]) & (words.text[1:] == words.text[:-1])).astype(np.uint64)
+    again[2:] |= ((h[2:] == h[:-2]) & (words.text[2:] == words.text[:-2])).astype(np.uint64) << np.uint64(1)
+    shape = shape << np.uint64(8) | length << np.uint64(2) | again
+    pair = words.text[1:] == words.text[:-1]
+    shapes = shape[1:][pair] << np.uint64(24) | shape[:-1][pair]
+    second = words.text[1:][pair]
+    kinds = (
+        (0, h, words.text),
+        (1, codes.word_grams(h, 2)[pair], second),
+        (2, shape + np.uint64(7 << 40), words.text),
+        (2, shapes + np.uint64(11 << 52), second),
+    )
+    cells = [(codes.mix(gram) % np.uint64(KIND_CELLS)).astype(np.int64) + kind * KIND_CELLS for kind, gram, _ in kinds]
+    return np.concatenate(cells), np.concatenate([texts for _, _, texts in kinds])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,14 +135,22 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model:
         target[segment * width : (segment + 1) * width] = counts[width:]
     if not target.any():
         return Model(np.zeros(CELLS), 0.0)
-    raw = (raw + 1) / (raw + 1).sum()
-    ratio = np.log((1 - PRIOR) * target / target.sum() + PRIOR * raw) - np.log(raw)
+    ratio = log_ratio(raw, target)
     model = Model(ratio, 0.0)
     judged = docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", "text", "good")
     rows = weigh(judged, model, ["good"]).select("good", "weight").collect()  # the labelled sample only
     return Model(ratio, best_cutoff(np.array([r[1] for r in rows]), np.array([r[0] for r in rows], bool)))
 
 
+def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The log of target over raw probability per cell, each kind of n-gram a model of its own."""
+    out = []
+    for whole, some in zip(np.split(raw, 3), np.split(target, 3), strict=True):
+        expected = whole * (some.sum() / max(whole.sum(), 1.0))
+        out.append(np.log(some + SMOOTHING) - np.log(expected + SMOOTHING))
+    return np.concatenate(out)
+
+
 def best_cutoff(weights: np.ndarray, good: np.ndarray) -> float:
     """The weight from which on most is right, good and bad rows counting alike as groups."""
     if not len(weights) or good.all() or not good.any():

@@ -48,3 +48,39 @@ def test_reruns_agree(spark):
     labels = spark.createDataFrame([(3, 1, 0), (6, 1, 0), (511, 0, 0)], "doc_id bigint, quality int, toxic int")
     first = sorted(map(repr, quality.keep_good(docs, labels).collect()))
     assert first == sorted(map(repr, quality.keep_good(docs.repartition(5), labels).collect()))
+
+
+def test_weights_equal_plain_counts(spark):
+    """Cells of words and pairs, both models and the weights, counted anew without arrays."""
+    texts = ["good plain words here", "good plain text", "b4d b4d !!! $$$", "", None, "good words good words good"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (2, 0, 0)], "doc_id bigint, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    found = {r.doc_id: r.weight for r in quality.weigh(docs, model, ["doc_id"]).collect()}
+
+    cells = {}
+    for i, t in enumerate(texts):
+        one, of = quality.features(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))
+        n = len((t or "").split())
+        assert len(one) == 2 * n + 2 * max(n - 1, 0) and not of.any()
+        cells[i] = one.tolist()
+    for i in cells:
+        weight = 0.0
+        for cell in cells[i]:
+            kind = cell // quality.KIND_CELLS
+            of_kind = lambda c, kind=kind: c // quality.KIND_CELLS == kind
+            raw = [c for j in cells for c in cells[j] if of_kind(c)]
+            target = [c for j in (0, 1) for c in cells[j] if of_kind(c)]
+            expected = raw.count(cell) * len(target) / len(raw)
+            weight += np.log(target.count(cell) + quality.SMOOTHING) - np.log(expected + quality.SMOOTHING)
+        assert abs(found[i] - weight) < 1e-5
+    # The same word is the same cell in every text.
+    assert set(cells[0]) & set(cells[1]) and found[0] > found[2]
+
+
+def test_draw_takes_the_k_largest_noisy_weights(spark):
+    docs = documents(spark)
+    labels = spark.createDataFrame([(3, 1, 0), (6, 1, 0), (511, 0, 0)], "doc_id bigint, quality int, toxic int")
+    keys, cut = quality.select(docs, quality.fit(docs, labels), k=20)
+    rows = sorted((r.key for r in keys.collect()), reverse=True)
+    assert cut == rows[19] and any(abs(r.key - r.weight) > 0.5 for r in keys.collect())
