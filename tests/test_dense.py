@@ -44,3 +44,20 @@ def test_cells_far_apart_are_not_visited(spark):
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "id long, encoded array<double>")
     assert dense.similar_vectors(df, 0.5).count() == 0
+
+
+def test_groups_hold_about_as_many_and_cover_every_cell():
+    first, slices = dense._groups(np.array([3, 4, 25, 0, 2, 9, 1]), 10)
+    assert first.tolist() == [0, 0, 1, 4, 4, 5, 5] and slices.tolist() == [1, 1, 3, 1, 1, 1, 1]
+
+
+def test_a_vector_travels_once_to_a_group(spark):
+    """Many small cells, all visited: no row for each of them."""
+    values = clustered(400, 8, seed=3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(values)], "id long, encoded array<double>")
+    vectors = dense._unit(df).select("id", "unit")
+    homes, _, residents, _ = dense._homes(vectors, 0.0, 4)
+    assert dense._visits(vectors, 0.0, 4).count() > 20 * homes.count()
+    most = int(residents.max())
+    first, slices = dense._groups(residents, max(most, 200))
+    assert int((first + slices).max()) <= 3
