@@ -452,3 +452,21 @@ def test_wide_vocabularies_keep_their_ids(spark, tmp_path):
     assert got == {k: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for k, ids in ((1, [1, 65535, 65536, 70000, 2]), (2, [69999, 2]))}
     with pytest.raises(ValueError):
         idstore.encode_and_read(docs, path=path, wide=False)
+
+
+def test_hashes_are_found_in_their_range():
+    rng = np.random.default_rng(5)
+    h = np.unique(np.concatenate([rng.integers(0, 2**63, 500, dtype=np.uint64), np.arange(7, 40, dtype=np.uint64), np.array([2**64 - 1, 2**64 - 3], np.uint64)]))
+    table = rules.Table(h, np.zeros(len(h), np.float32), np.zeros(len(h), np.float32))
+    assert len(table.index[0]) <= 4 * len(h) + 2  # ranges in step with the rows, no search over all of them
+    wanted = np.concatenate([h, h + np.uint64(1), np.array([0, 2**63], np.uint64)])
+    places = {int(x): k for k, x in enumerate(h)}
+    assert table.find(wanted).tolist() == [places.get(int(x), -1) for x in wanted]
+    assert rules.Table(h[:0], np.zeros(0), np.zeros(0)).find(wanted).tolist() == [-1] * len(wanted)
+
+
+def test_distinct_hashes_and_a_place_of_each():
+    h = np.random.default_rng(6).integers(0, 300, 5000, dtype=np.uint64) << np.uint64(30)
+    distinct, some = rules._distinct(h)
+    assert distinct.tolist() == np.unique(h).tolist() and (h[some] == distinct).all()
+    assert rules._distinct(h[:0])[0].tolist() == []
