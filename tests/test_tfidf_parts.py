@@ -1,0 +1,62 @@
+"""Vectors that are weighted in parts of the texts."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from nearprint.operators import tfidf
+from nearprint.plans import queries
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choices(["aa", "bb", "Été", "ab1", "x_y", "a"] + [f"w{j}" for j in range(40)], k=rng.randint(0, 60)))) for k in range(200)]
+    return spark.createDataFrame([*rows, *[(300 + k, rows[0][1]) for k in range(50)], (400, None), (401, "")], "id long, processed_content string").repartition(3)
+
+
+def found(encoded):
+    return sorted((r.id, r.feature_matrix_index, round(r.weight, 12), r.document_frequency) for r in encoded.collect())
+
+
+def by_classes(texts, vocabulary=None):
+    classes, members = tfidf.collapse_texts(texts)
+    words = tfidf.fit_vocabulary(classes)
+    if vocabulary is not None:
+        words = words.drop("feature_matrix_index").join(vocabulary, "word")
+    return tfidf.for_documents(tfidf.encode(classes, words), members)
+
+
+def test_parts_of_any_size_equal_the_joined_form(spark, texts, monkeypatch):
+    expected = found(by_classes(texts))
+    for words in (1, 70, 10**6):
+        monkeypatch.setattr(tfidf, "PART_WORDS", words)
+        assert found(tfidf.encode_texts(texts)[0]) == expected
+
+
+def test_fixed_vocabulary_out_of_order(spark, texts, monkeypatch):
+    monkeypatch.setattr(tfidf, "PART_WORDS", 100)
+    fixed = spark.createDataFrame([("x_y", 0), ("aa", 1), ("été", 2), ("never", 3), ("w7", 4)], "word string, feature_matrix_index int")
+    assert found(tfidf.encode_texts(texts, fixed)[0]) == found(by_classes(texts, fixed))
+
+
+def test_texts_without_a_known_word_are_kept(spark, texts):
+    fixed = spark.createDataFrame([("w7", 0)], "word string, feature_matrix_index int")
+    whole, _ = tfidf.encode_texts(texts, fixed, keep_empty=True)
+    assert whole.select("id").distinct().count() == texts.count()
+    nothing = spark.createDataFrame([], "word string, feature_matrix_index int")
+    empty, _ = tfidf.encode_texts(texts, nothing, keep_empty=True)
+    assert [(r.feature_matrix_index, r.weight) for r in empty.collect()] == [(None, None)] * texts.count()
+    assert tfidf.encode_texts(texts, nothing)[0].isEmpty()
+
+
+@pytest.mark.parametrize("name", ["tfidf_refit", "tfidf_vectors", "tfidf_incremental_batch"])
+def test_queries_use_parts(spark, tmp_path, name):
+    docs = [(k, f"aa bb w{k % 5} w{k % 3}", "en", "s") for k in range(20)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(0, 20, 2).select(F.col("id").alias("doc_id")).write.parquet(f"{tmp_path}/labels.parquet")
+    made = queries.REGISTRY[name](spark, str(tmp_path))
+    assert "FlatMapCoGroupsInArrow" in made._jdf.queryExecution().optimizedPlan().toString() and made.count() > 0
