@@ -5,7 +5,8 @@ least hash is its *minimiser*.  Consecutive windows with the same minimiser form
 equal windows have equal minimisers wherever they are, so a run says all about its windows.
 
 Documents are grouped into blocks by a hash, and everything that travels is one row for each
-block and bucket, with packed arrays in it:
+block and bucket, with packed arrays in it.  So that these rows do not grow with the square of the
+input, a block holds some megabytes of text; it is worked on in pieces that fit a cache:
 
 1.  every run sends its minimiser, 6 bytes, to its bucket.  Sorting there shows which ones
     occur in two documents or more, and a bit for each run goes back to its block;
@@ -23,10 +24,11 @@ Text is shuffled once, by block; the three steps read the same exchange.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +36,13 @@ from pyspark.sql import functions as F
 from nearprint.llm import codes
 from nearprint.llm.tables import buckets, doc_key
 
-#: Documents in a block, on average.
-BLOCK_DOCUMENTS = 256
+#: Bytes of text in a block, on average: the least, to keep all cores busy, and the most.
+LEAST_BYTES = 1 << 20
+BLOCK_BYTES = 12 << 20
+#: Blocks that are enough for any number of cores a small input needs.
+BLOCKS = 64
+#: Bytes of text that are hashed at a time; one longer text is a piece of its own.
+PIECE_BYTES = 1 << 20
 #: Runs beyond which the runs of one minimiser are cut into windows.
 HOT_RUNS = 4096
 KEY_BYTES = 6
@@ -81,6 +88,22 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
 
 
+def blocks_of(n_bytes: int, partitions: int) -> int:
+    """Blocks for so many bytes of text: enough to deal out, and none far beyond ``BLOCK_BYTES``."""
+    return max(1, -(-n_bytes // BLOCK_BYTES), min(-(-n_bytes // LEAST_BYTES), max(partitions, BLOCKS)))
+
+
+def pieces(kind: str, docs: pa.Table) -> Iterator[tuple[int, int, Units]]:
+    """``(first, end, units)``: consecutive texts of a block, a piece at a time."""
+    sizes = pc.fill_null(pc.binary_length(docs.column("text")), 0).to_numpy().astype(np.int64)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + PIECE_BYTES, "right")))
+        yield at, end, Units(kind, *codes.flat(docs.column("text").slice(at, end - at)))
+        at = end
+
+
 class Runs:
     """Runs of consecutive windows with one minimiser: their key, first unit, windows, text."""
 
@@ -148,10 +171,11 @@ def _unpacked_keys(raw: bytes) -> np.ndarray:
 def ask(kind: str, window: int, gram: int, n: int) -> Callable[[pa.Table], pa.Table]:
     def run(docs: pa.Table) -> pa.Table:
         docs = _sorted(docs)
-        runs = Runs(Units(kind, *codes.flat(docs.column("text"))), window, gram)
+        found = [(runs.key, runs.text + start) for start, _, units in pieces(kind, docs) for runs in [Runs(units, window, gram)]]
+        key, text = (np.concatenate(c) for c in zip(*found, strict=True))
         block = docs.column("block")[0].as_py()
         return _rows(ASKED, [
-            (block, b, _packed_keys(runs.key[at]), runs.text[at].astype("<u4").tobytes()) for b, at in _by_bucket(bucket_of(runs.key, n))
+            (block, b, _packed_keys(key[at]), text[at].astype("<u4").tobytes()) for b, at in _by_bucket(bucket_of(key, n))
         ])
 
     return run
@@ -181,50 +205,78 @@ def answer(asked: pa.Table) -> pa.Table:
     ])
 
 
-def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The stretches of ``data`` laid end to end."""
+def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of all stretches one after the other."""
     ends = np.cumsum(size)
-    return data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)]
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)
 
 
-def _strings(units: Units, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Packed strings of ``length`` units from ``first`` on, and their sizes in bytes; words get one space each."""
-    if units.start is None:
-        return _gather(units.buf, first, length), length
-    word = _gather(np.arange(len(units.start)), first, length)
-    width = (units.end - units.start)[word] + 1
-    data = _gather(np.append(units.buf, np.uint8(32)), units.start[word], width)
+def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``data`` laid end to end."""
+    return data[_places(start, size)]
+
+
+def _strings(
+    buf: np.ndarray, places: tuple[np.ndarray, np.ndarray] | None, first: np.ndarray, length: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Packed strings of ``length`` units from ``first`` on, and their sizes in bytes; words, which
+    start and end at ``places`` of ``buf``, get one space each."""
+    if places is None:
+        return _gather(buf, first, length), length
+    word = _places(first, length)
+    width = (places[1] - places[0])[word] + 1
+    data = _gather(np.append(buf, np.uint8(32)), places[0][word], width)
     data[np.cumsum(width) - 1] = 32
     return data, np.add.reduceat(width, np.cumsum(length) - length) if len(length) else length
 
 
+def _single_hashes(kind: str, docs: pa.Table, base: list[int], single: np.ndarray, window: int) -> np.ndarray:
+    """The content of windows that start at units ``single``, in order; pieces begin at ``base``."""
+    out, edges = np.zeros(len(single), np.uint64), np.searchsorted(single, base)
+    if len(single):
+        for k, (_, _, units) in enumerate(pieces(kind, docs)):
+            own = single[edges[k] : edges[k + 1]] - base[k]
+            out[edges[k] : edges[k + 1]] = codes.spans_hash(units.sums, own, own + window)
+    return out
+
+
 def send(kind: str, window: int, gram: int, n: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows or not answers.num_rows:
             return _rows(SENT, [])
         docs = _sorted(docs)
-        units = Units(kind, *codes.flat(docs.column("text")))
-        runs = Runs(units, window, gram)
-        places = dict(_by_bucket(bucket_of(runs.key, n)))
-        shared, hot = np.zeros(len(runs.key), bool), np.zeros(len(runs.key), bool)
+        found, words, base, origin = [], [], [0], 0
+        for start, _, units in pieces(kind, docs):
+            runs = Runs(units, window, gram)
+            content = codes.spans_hash(units.sums, runs.first, runs.first + runs.count + window - 1)
+            found.append((runs.key, runs.first + base[-1], runs.count, runs.text + start, content))
+            if units.start is not None:
+                words.append((units.start + origin, units.end + origin))
+            base.append(base[-1] + len(units.text))
+            origin += len(units.buf)
+        key, first, count, text, content = (np.concatenate(c) for c in zip(*found, strict=True))
+        places = dict(_by_bucket(bucket_of(key, n)))
+        shared, hot = np.zeros(len(key), bool), np.zeros(len(key), bool)
         for row in answers.to_pylist():
             at = places[row["bucket"]]
             bits = np.unpackbits(np.frombuffer(row["flags"], np.uint8))[: 2 * len(at)].reshape(2, -1)
             shared[at], hot[at] = bits[0] == 1, bits[1] == 1
         whole, cut = np.flatnonzero(shared & ~hot), np.flatnonzero(hot)
-        single = _gather(np.arange(len(units.text)), runs.first[cut], runs.count[cut])
-        first = np.concatenate([runs.first[whole], single])
-        count = np.concatenate([runs.count[whole], np.ones(len(single), np.int64)])
-        text = np.concatenate([runs.text[whole], np.repeat(runs.text[cut], runs.count[cut])])
-        stretch = count + window - 1
-        content = codes.spans_hash(units.sums, first, first + stretch)
-        key = np.concatenate([runs.key[whole], content[len(whole) :]])
+        single = _places(first[cut], count[cut])
+        alone = _single_hashes(kind, docs, base, single, window)
+        text = np.concatenate([text[whole], np.repeat(text[cut], count[cut])])
+        first = np.concatenate([first[whole], single])
+        stretch = np.concatenate([count[whole], np.ones(len(single), np.int64)]) + window - 1
+        content = np.concatenate([content[whole], alone])
+        key = np.concatenate([key[whole], alone])
+        buf = codes.flat(docs.column("text"))[0]
+        words = tuple(np.concatenate(c) for c in zip(*words, strict=True)) or None
         doc = docs.column("doc").to_numpy()
         block = docs.column("block")[0].as_py()
         rows = []
         for b, at in _by_bucket(bucket_of(key, n)):
             _, some, which = np.unique(content[at], return_index=True, return_inverse=True)
-            data, size = _strings(units, first[at][some], stretch[at][some])
+            data, size = _strings(buf, words, first[at][some], stretch[at][some])
             rows.append((
                 block, b, _pressed(size.astype("<u4")), _pressed(data), _pressed(which.astype("<u4")),
                 _pressed(doc[text[at]].astype("<i8")), _pressed(first[at].astype("<u4")),
@@ -265,7 +317,7 @@ def count(kind: str, window: int, rank: Callable[[Units, np.ndarray, int], np.nd
         out = []
         for row, strings, doc in zip(rows, which, docs, strict=True):
             many = bounds[strings + 1] - bounds[strings]
-            windows = _gather(np.arange(len(at)), bounds[strings], many)
+            windows = _places(bounds[strings], many)
             first = _loosened(row["firsts"], "<u4").astype(np.int64)
             unit = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(len(windows))
             unit = np.sort(unit[before[windows] < np.repeat(doc, many)])
@@ -283,13 +335,19 @@ def content_rank(units: Units, at: np.ndarray, window: int) -> np.ndarray:
     return codes.spans_hash(units.sums, at, at + window)
 
 
-def covered(units: Units, found: pa.Table, window: int) -> np.ndarray:
-    """Which units lie under a window that was found."""
-    edge = np.zeros(len(units.text) + 1, np.int64)
-    for row in found.to_pylist():
-        start, many = np.frombuffer(row["starts"], "<u4").astype(np.int64), np.frombuffer(row["counts"], "<u4").astype(np.int64)
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + many + window - 1, -1)
+def stretches(found: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """First unit, and the one after the last, of what lies under the windows found, by first unit."""
+    rows = found.to_pylist()
+    start, many = (np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(r[c], "<u4") for r in rows)]).astype(np.int64) for c in ("starts", "counts"))
+    order = np.argsort(start, kind="stable")
+    return start[order], (start + many + window - 1)[order]
+
+
+def covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of ``n`` units lie in a stretch."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, end, -1)
     return np.cumsum(edge)[:-1] > 0
 
 
@@ -306,7 +364,8 @@ def repeated(
     spark = docs.sparkSession
     n = 4 * buckets(spark)
     chosen = docs.select(doc_key(id_column).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    blocks = max(1, -(-chosen.count() // BLOCK_DOCUMENTS))
+    n_bytes = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = blocks_of(n_bytes, buckets(spark))
     blocked = chosen.select(F.pmod(F.xxhash64("doc", "text"), F.lit(blocks)).alias("block"), "doc", "text")
     by_block = blocked.groupBy("block")
     asked = by_block.applyInArrow(ask(kind, window, gram, n), ASKED)
@@ -316,7 +375,14 @@ def repeated(
 
     def end(documents: pa.Table, runs: pa.Table) -> pa.Table:
         documents = _sorted(documents)
-        units = Units(kind, *codes.flat(documents.column("text")))
-        return finish(documents, units, covered(units, runs, window))
+        starts, ends = stretches(runs, window)
+        done, out = 0, []
+        # A stretch lies in one text, and so in one piece.
+        for at, stop, units in pieces(kind, documents):
+            n = len(units.text)
+            own = slice(*np.searchsorted(starts, [done, done + n]))
+            out.append(finish(documents.slice(at, stop - at), units, covered(n, starts[own] - done, ends[own] - done)))
+            done += n
+        return pa.concat_tables(out)
 
     return by_block.cogroup(found.groupBy("block")).applyInArrow(end, schema)
